@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing
+from . import chat, common, mixing, quality
 from .common import table
 
 
@@ -84,8 +84,16 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = common.cut(quality.measured(docs).drop("text"), "measured")
+    steps = common.cut(quality.cutoffs(rows, table(spark, sf_dir, "labels")), "cutoffs")
+    return quality.judged(rows, steps).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
+    "op9_quality_rules": op9_quality_rules,
 }
 SQL = {"op6_chat_formatting": OP6_SQL, "op7_mixing": OP7_SQL}
