@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, mixing, quality
+from . import bpe, chat, common, mixing, quality, token_files
 from .common import table
 
 
@@ -91,9 +92,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(rows, steps).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tokens = common.cut(token_files.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json")), "ids")
+    manifest = token_files.write(tokens, token_files.new_folder(spark))
+    return token_files.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("codes").alias("ids_crc32"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = bpe.decode(bpe.encode(docs, ranks).drop("text"), ranks)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op4_token_files": op4_token_files,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 SQL = {"op6_chat_formatting": OP6_SQL, "op7_mixing": OP7_SQL}
