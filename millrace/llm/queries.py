@@ -6,10 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, mixing, quality, token_files
+from . import bpe, chat, common, embed_dedup, mixing, quality, token_files
 from .common import table
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+), r AS (
+  SELECT vec_id AS a, vec_id AS c FROM embeddings
+  UNION SELECT r.a, p.b FROM r JOIN p ON r.c = p.a
+), c AS (SELECT a, min(c) AS c FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept
+FROM embeddings e JOIN c ON e.vec_id = c.a LEFT JOIN n ON e.vec_id = n.a
+"""
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(hard).alias("text"))
@@ -108,9 +128,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_token_files": op4_token_files,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
-SQL = {"op6_chat_formatting": OP6_SQL, "op7_mixing": OP7_SQL}
+SQL = {"op5_embedding_dedup": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op7_mixing": OP7_SQL}
