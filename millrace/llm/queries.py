@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, embed_dedup, mixing, quality, token_files
+from . import bpe, chat, common, embed_dedup, mixing, pii, quality, token_files
 from .common import table
 
 
@@ -105,6 +105,12 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
+    return d.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = common.cut(quality.measured(docs).drop("text"), "measured")
@@ -131,6 +137,7 @@ QUERIES = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
