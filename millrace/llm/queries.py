@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, embed_dedup, mixing, pii, quality, token_files
+from . import bpe, chat, common, embed_dedup, langid, mixing, pii, quality, token_files
 from .common import table
 
 
@@ -118,6 +118,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(rows, steps).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs.filter(~langid.held_out()))
+    plain = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
+    return langid.identify(plain, net).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tokens = common.cut(token_files.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json")), "ids")
@@ -133,6 +140,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op4_token_files": op4_token_files,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_chat_formatting": op6_chat_formatting,
