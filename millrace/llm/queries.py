@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, embed_dedup, langid, mixing, pii, quality, token_files
+from . import bpe, chat, common, embed_dedup, langid, mixing, pii, quality, substring, token_files
 from .common import table
 
 
@@ -125,6 +125,32 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(plain, net).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) AS i FROM d
+), g AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM s
+), m AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS least FROM g
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM m WHERE least < doc_id
+), p AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS k, unnest(w) AS x FROM d
+), r AS (
+  SELECT p.doc_id, count(c.k) AS n, string_agg(p.x, ' ' ORDER BY p.k) FILTER (WHERE c.k IS NULL) AS kept
+  FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.k = c.k GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tokens = common.cut(token_files.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json")), "ids")
@@ -141,6 +167,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_token_files": op4_token_files,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_chat_formatting": op6_chat_formatting,
@@ -149,4 +176,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
-SQL = {"op5_embedding_dedup": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op7_mixing": OP7_SQL}
+SQL = {"op3_substring_dedup": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op7_mixing": OP7_SQL}
