@@ -70,6 +70,13 @@ def arrow_batches(spark: SparkSession, rows: int = 2_000, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns added, evaluated once for each row. Plain projections are merged into what refers to them, filters included, and
+    costly expressions repeated for each mention; Spark moves nothing across a generator."""
+    made = F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[c for c in df.columns if c not in columns], made)
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

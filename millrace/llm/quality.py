@@ -50,7 +50,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda a: a["n"],
     )
     lines = F.col("__lines")
-    d = d.withColumns({
+    d = common.settled(d, {
         "n_words": F.size(w).cast("long"),
         "word_chars": F.char_length(F.array_join(w, "")).cast("long"),
         "n_symbols": F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
@@ -58,8 +58,8 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": F.when(s.isNotNull(), covered).otherwise(F.lit(0)).cast("long"),
     })
-    d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    return d.drop("__w", "__lines", "__h", "__s")
+    d = d.drop("__w", "__lines", "__h", "__s")
+    return d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
 def _steps() -> Column:
