@@ -64,8 +64,9 @@ def build(e, schema: T.StructType) -> tuple[Column, T.DataType]:
 
 
 def predicate(e, schema: T.StructType) -> Column:
-    """A condition that is true or false, never null: unknown counts as false."""
-    return F.coalesce(build(e, schema)[0].cast("boolean"), F.lit(False))
+    """A condition. It may be null; filters and joins take null for false, and a bare condition is what reaches the scan."""
+    c, t = build(e, schema)
+    return c if isinstance(t, T.BooleanType) else c.cast("boolean")
 
 
 def label(e) -> str:
