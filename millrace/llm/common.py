@@ -49,10 +49,19 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
     free(spark)
     return out
 
 
+def discard(*cuts: DataFrame) -> None:
+    """Deletes the files of what cut() gave, when nothing that is still to be computed reads them."""
+    for df in cuts:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of finished steps, which it does when the driver's garbage is collected."""
     gc.collect()

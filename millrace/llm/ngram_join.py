@@ -28,7 +28,9 @@ from .substring import _chunks
 BLOCK_TOKENS = 4_000_000
 PIVOTS = 8
 #: Share of a set by which the filter's prefix is longer than the least; a longer one filters more and moves more.
-MORE = 0.05
+MORE = 0.10
+#: Rounds of the filter; each counts what is shared among the classes that the last left.
+ROUNDS = 2
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -177,16 +179,29 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), b.column(2).slice(first, len(texts)), pa.array(n), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], names=["doc_id", "key", "n", "d1", "d2", "prefix"])
 
     keyed = d.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    rows = common.cut(keyed.mapInArrow(prefixes, "doc_id long, key long, n long, d1 long, d2 long, prefix array<long>"), "prefixes")
-    classes = rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    every = common.cut(keyed.mapInArrow(prefixes, "doc_id long, key long, n long, d1 long, d2 long, prefix array<long>"), "prefixes")
+    rows = common.cut(every.drop("prefix"), "rows")
+    classes = every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     classes = common.cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     # 2. Classes whose prefixes share enough.
-    enough = (F.floor(_least(F.col("n"), percent) * MORE) + 1).alias("enough")
-    post = classes.select("cid", enough, F.explode("prefix").alias("token"))
+    enough = F.floor(_least(F.col("n"), percent) * MORE) + 1
+    post = classes.select("cid", F.explode("prefix").alias("token"))
     shared = post.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    alive = post.join(shared, "token").groupBy("cid", "enough").agg(F.count("*").alias("c")).filter("c >= enough").select("cid")
-    alive = common.cut(classes.drop("prefix").join(alive, "cid"), "alive")
+    post = common.cut(post.join(shared, "token"), "postings")
+    kept = common.cut(classes.drop("prefix"), "kept")
+    common.discard(every, classes)
+    classes = kept
+    for left in reversed(range(ROUNDS)):
+        alive = post.groupBy("cid").agg(F.count("*").alias("c")).join(classes, "cid").filter(F.col("c") >= enough).drop("c")
+        alive = common.cut(alive, "alive")
+        if not left:
+            break
+        less = post.join(alive.select("cid"), "cid")
+        shared = less.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+        old, post = post, common.cut(less.join(shared, "token"), "postings")
+        common.discard(old)
+    common.discard(post)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,6 +221,7 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     ordered = tokens.join(counts, "token").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
     ordered = common.cut(ordered.filter(F.size("s") >= _least(F.col("n"), percent)), "ordered")
+    common.discard(sets)
     prefix = F.slice("s", F.lit(1), (F.size("s") - _least(F.col("n"), percent) + 1).cast("int"))
     head = ordered.select("cid", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"))
     edges = head.join(head.groupBy("token").agg(F.min("cid").alias("least")), "token").select(F.col("cid").alias("u"), F.col("least").alias("v"))
@@ -215,6 +231,7 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
     blocks = blocks.join(sizes.select("block", F.ceil(F.col("len") / block_tokens).cast("int").alias("subs")), "block")
     data = ordered.join(blocks, "cid").select("block", "subs", "cid", "n", F.transform("s", lambda x: x["df"]).alias("df"), F.transform("s", lambda x: x["token"]).alias("tok"))
     data = common.cut(data, "blocks")
+    common.discard(ordered)
 
     # 4. and 5. Links.
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +286,7 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
     known = classes.select("n", "d1", "d2", "cid", "rep").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = known.join(least, "root").select("n", "d1", "d2", "root", "component_id")
-    out = rows.drop("prefix").join(known, ["n", "d1", "d2"], "left")
+    out = rows.join(known, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("root").alias("group_id"), "key")
 
 
