@@ -1,0 +1,227 @@
+"""Language, token files, chats, mixing, personal data, quality and BPE: hard cases, brute force, round trips."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers as P
+import pyarrow.fs as pafs
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from millrace.llm import bpe, chat, langid, mixing, pii, quality, queries, token_files
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+MULTI = P.path("byte_bpe_multi_50k.tiktoken")
+HARD = [None, "", " ", "a", "it's é😀 10% \n\n  x", "x" * 3000, "'ll 're\n's", "<|endoftext|> <s>[INST]", "é" * 60 + "1 2\t3", "word " * 4000]
+
+
+def test_bpe_is_tiktoken(spark):
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(MULTI), special_tokens={})
+    df = spark.createDataFrame(list(enumerate(HARD)), "doc_id int, text string").withColumn("ids", F.lit("clash"))
+    for r in bpe.decode(bpe.encode(df, MULTI), MULTI).collect():
+        assert r.ids == own.encode_ordinary(HARD[r.doc_id] or "")
+        assert bytes(r.decoded) == (HARD[r.doc_id] or "").encode()
+    assert bpe.encode(df.limit(0), MULTI).count() == 0
+
+
+def test_bpe_matrix_merge_is_the_heap_merge():
+    e, r = bpe.encoder(MULTI), random.Random(3)
+    some = [bytes(r.choice(b"aetnio 'r\xc3\xa9") for _ in range(r.randint(2, 48))) for _ in range(400)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in e.merge(some)] == [[e.ranks[s]] if s in e.ranks else e.merge_long(s) for s in some]
+
+
+def test_token_files(spark, tmp_path):
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = [(i if i is None or i != 4 else 3, x) for i, x in zip([None, *range(1, 40)], HARD * 4)]
+    tokens = token_files.tokenize(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, codes int"), P.path("byte_bpe_50k.json"))
+    manifest = token_files.write(tokens, f"file://{tmp_path}/t")
+    got = token_files.read(manifest).collect()
+    want = sorted((str(i), zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, x in rows)
+    assert sorted((str(r.doc_id), zlib.crc32(bytes(r.codes))) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids[0] is None and ids[1:] == sorted(ids[1:])
+    file = manifest.first().file
+    one = token_files.Reader(file)
+    low = one.index[0][0]
+    assert set(one.documents({low, 10**9})) == {low}
+    fs, path = pafs.FileSystem.from_uri(file)
+    raw = bytearray(open(path, "rb").read())
+    raw[one.seek[0][0] - 1] ^= 1
+    open(f"{tmp_path}/bad", "wb").write(bytes(raw))
+    with pytest.raises(Exception):
+        token_files.Reader(f"file://{tmp_path}/bad").frame(0)
+    assert token_files.read(token_files.write(tokens.limit(0), f"file://{tmp_path}/none")).count() == 0
+
+
+def test_language_gradients():
+    net = langid._fresh(["a", "b", "c"], np.random.default_rng(0))
+    net = langid.Network(net.langs, *[w.astype("f8") for w in net.weights()])
+    x, y = np.random.default_rng(1).integers(0, 255, (9, 4)), np.array([0, 1, 2, 1])
+    _, grads = langid.gradients(net, x, y)
+    for w, g in zip(net.weights(), grads):
+        at = np.unravel_index(np.abs(g).argmax(), w.shape)
+        old = w[at]
+        w[at] = old + 1e-3
+        up = langid.gradients(net, x, y)[0]
+        w[at] = old - 1e-3
+        down = langid.gradients(net, x, y)[0]
+        w[at] = old
+        assert (up - down) / 2e-3 == pytest.approx(g[at], rel=1e-2)
+
+
+def test_language_lanes_are_the_network():
+    """Lanes of padded chunks give what a plain loop over each chunk gives."""
+    net = langid._fresh(["a", "b"], np.random.default_rng(2))
+    text = bytes(np.random.default_rng(3).integers(0, 255, 300).astype("u1"))
+    total = np.zeros(2)
+    for k in range(0, 300, langid.CHUNK):
+        x = text[k : k + langid.CHUNK]
+        states = []
+        for d, seq in ((0, x), (1, x[::-1])):
+            h, out = np.zeros(langid.UNITS), []
+            for b in seq:
+                g = net.table[d][:, b] + net.turn[d] @ h
+                z, n = np.clip(0.5 + g[: langid.UNITS], 0, 1), np.clip(g[langid.UNITS :], -1, 1)
+                h = h + z * (n - h)
+                out.append(h)
+            states.append(out if d == 0 else out[::-1])
+        for f, b in zip(*states):
+            p = np.exp(net.out[0] @ f + net.out[1] @ b + net.bias[:, 0])
+            total += p / p.sum()
+    assert langid.predict(net, [b"", text])[1] == pytest.approx(total / 300, rel=1e-3)
+
+
+def test_language_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    net = langid.fit(docs.filter(~langid.held_out()))
+    hard = spark.createDataFrame([(900, None, None), (901, "", "en"), (902, "12 %", "en")], "doc_id long, text string, lang string")
+    got = langid.identify(docs.select("doc_id", "text", "lang").unionByName(hard).withColumn("score", F.lit("clash")), net)
+    rows = got.select("doc_id", "lang", "lang_pred", "score", langid.held_out().alias("h")).collect()
+    assert {r.lang_pred for r in rows if r.doc_id >= 900} == {"und"} and all(0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.h and r.doc_id < 900]
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.9 * len(held)
+    assert langid.fit(docs.limit(0)) is None and langid.identify(docs.limit(0), None).count() == 0
+
+
+def test_chats(spark):
+    nasty = [*HARD, "</s>", "[/INST]&lt;", "<<s>s>", "&amp;</s>", "a|1[/INST]b", "&lt;/s>"]
+    rows = [(i % 7, None if i == 3 else i // 2, [None, "user", "assistant", "sy|s\n<s>&"][i % 4], x) for i, x in enumerate(nasty)] + [(None, 1, "user", "x"), (1, 1, "user", "d"), (1, 1, "user", "d")]
+    made = chat.format_chats(spark.createDataFrame([(*r, "z") for r in rows], "conv_id int, turn int, role string, text string, formatted string"))
+    got = made.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"), F.col("turns"))).collect()
+    for r in got:
+        own = sorted(((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == r.conv_id))
+        assert [(t.role, t.text) for t in r.turns] == [x[2:] for x in own]
+        assert r.loss == "".join(x[3] for x in own if x[2] == "assistant")
+    assert len(got) == 8 and chat.format_chats(spark.createDataFrame([], "conv_id int, turn int, role string, text string")).count() == 0
+
+
+def test_mixing(spark):
+    r = random.Random(1)
+    rows = [(i, " ".join("w" * r.randint(1, 30) for _ in range(r.randint(0, 40))), r.choice(["a", "b", "c", "d", "é", None, ""])) for i in range(3000)] + [(5, None, "a"), (None, "x y", "a"), (7, "q", "only"), (7, "q", "only")]
+    df = spark.createDataFrame([(*x, "clash", 1) for x in rows], "doc_id long, text string, source string, target string, size int")
+    got = mixing.mix(df).collect()
+    again = mixing.mix(df.repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
+    taken, by = {}, {}
+    for x in got:
+        assert x.size == len(WORD.findall(x.text or "")) and 0 <= x.copies <= 2
+        taken[x.source] = taken.get(x.source, 0) + x.copies * x.size
+        by[x.source] = x
+    assert sum(x.target for x in by.values()) == pytest.approx(1.5 * sum(x.source_size for x in by.values()))
+    for s, x in by.items():
+        assert x.target <= 2 * x.source_size and abs(taken[s] - x.target) <= 40
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+def base_spans(t):
+    o = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    o += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m.group())
+        if 12 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
+            o.append((m.start(), 2, m.end()))
+    o += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return sorted(o)
+
+
+def test_pii(spark):
+    r = random.Random(5)
+    texts = [*HARD, "a@b.c@d.e", "a@b.c.d_x@e.f x@y..z.w", "é😀 a@b.co 1.2.3.4.5.6.7.8 256.1.1.1 001.002.3.4", "+1 (555) 123-4567. +12", "4111 1111 1111 1111 4111-1111-1111-1111-1", "9" * 3000, "a." * 2000 + "@x.yy", "a@b" + ".c" * 9000]
+    texts += ["".join(r.choice("a@.1-+ (0_%é9") for _ in range(60)) for _ in range(600)]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id int, text string, base string")
+    for x in pii.find(df).collect():
+        t = texts[x.doc_id] or ""
+        assert [(s.start, s.kind, s.end) for s in x.base] == base_spans(t)
+        assert all(t[s.start : s.end] == s.m for s in x.spans) and {(s.start, s.kind) for s in x.base} <= {(s.start, s.kind) for s in x.spans}
+
+
+def test_pii_added_spans(spark):
+    t = "mail me: john.doe [at] host [dot] com or call (555) 123-4567, on 2024-05-06 we met at noon, ssn: 123-45-6789"
+    x = pii.find(spark.createDataFrame([(t,)], "text string")).select(pii.listed(F.col("spans")).alias("s"), pii.redact(F.col("text"), F.col("spans")).alias("r")).first()
+    assert x.r == "mail me: <EMAIL> or call <PHONE>, on 2024-05-06 we met at noon, ssn: <ID>"
+    assert pii.model()[2] > 0.97
+
+
+def test_pii_features_agree(spark):
+    r = random.Random(9)
+    some = [pii._example(r)[:3] for _ in range(150)]
+    df = spark.createDataFrame([(i, pii.KINDS.index(k), m, b) for i, (k, m, b) in enumerate(some)], "i int, kind int, m string, b string")
+    for x in df.select("i", pii._features(F.struct("kind", "m"), F.col("b")).alias("f")).collect():
+        assert x.f == pii.features(*some[x.i])
+
+
+def measures(t):
+    w, t = WORD.findall(t or ""), t or ""
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    seen, cover = {}, set()
+    for k in range(len(w) - 4):
+        seen.setdefault(tuple(w[k : k + 5]), []).append(k)
+    for at in seen.values():
+        if len(at) > 1:
+            cover.update(j for k in at for j in range(k, k + 5))
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover)
+
+
+def test_quality_measures(spark):
+    texts = [*HARD, "a b c d e f a b c d e g a b c d e", "x\nx\n\n \nx y\nx y", "a a a a a a", "<a> #b & c|d"]
+    df = spark.createDataFrame([(i, t, "en", "clash") for i, t in enumerate(texts)], "doc_id int, text string, lang string, n_words string")
+    for r in quality.measured(df).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == measures(texts[r.doc_id])
+
+
+def test_quality_bounds(spark):
+    """The log of the binomial tail, and cutoffs that rest on enough labels only."""
+    df = spark.createDataFrame([(0, 50), (3, 200), (40, 5000)], "k long, n long")
+    for r in df.select("k", "n", quality._log_cdf(F.col("k"), F.col("n"), 0.01).alias("p")).collect():
+        assert r.p == pytest.approx(math.log(sum(math.comb(r.n, i) * 0.01**i * 0.99 ** (r.n - i) for i in range(r.k + 1))), rel=1e-6)
+    rows = [(i, "good words here we go now and then some more of it all " * 2 + str(i), "en" if i % 9 else "de") for i in range(3000)] + [(9000 + i, "#### $$$$ %%%% &&&& " * 5 + " ".join(f"#w{j}" for j in range(90)), s) for i, s in enumerate(["en", "de", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3000)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    docs = docs.filter("doc_id >= 9000 or doc_id % 2 = 0 or lang = 'en'")
+    judged = {r.doc_id: r.kept for r in quality.quality(docs, labels).withColumn("kept", F.col("kept") | F.col("base_failed")).collect()}
+    assert all(k for d, k in judged.items() if d < 9000)
+    assert quality.quality(docs, labels.limit(0)).filter("not kept and not base_failed").count() == 0
+    assert quality.quality(docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_twins(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    want = con.execute(queries.SQL[name])
+    names = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(want.fetchall())
