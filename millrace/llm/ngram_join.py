@@ -4,7 +4,7 @@
 2. Filter: two linked sets of sizes n and m have at least t * max(n, m) shingles in common, so among the first n - ceil(t n) + l of
    each in any global order they share at least l of the smaller one's l. Classes whose prefix (here in order of hashes) holds too
    few shingles of other classes are out. That is exact, and leaves about the true candidates.
-3. The survivors' shingles are counted and globally ordered, rarest first; those in one survivor only cannot be shared. What is
+3. Survivors with too many shingles of their own go too. The rest's shingles are counted and globally ordered, rarest first; those in one survivor only cannot be shared. What is
    left of the classes is cut into blocks, the components of "a rarest-first prefix shingle in common": linked sets share a block.
 4. In a block the ordered sets are stored in a trie. A set is looked up by one traversal that carries the overlap of the shared
    path; a subtree is left as soon as the overlap so far plus what can remain of either side misses the bound, or when all its sets
@@ -29,8 +29,6 @@ BLOCK_TOKENS = 4_000_000
 PIVOTS = 8
 #: Share of a set by which the filter's prefix is longer than the least; a longer one filters more and moves more.
 MORE = 0.10
-#: Rounds of the filter; each counts what is shared among the classes that the last left.
-ROUNDS = 2
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -152,6 +150,13 @@ def _least(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
+def _lone(post: DataFrame) -> DataFrame:
+    """post (cid, token, each pair once) -> (cid, lone): how many tokens of a class no other class has. The only class of such a token is
+    also its smallest, so one aggregation tells whose it is, and no token's classes are ever brought together."""
+    once = post.groupBy("token").agg(F.count("*").alias("c"), F.min("cid").alias("cid")).filter("c = 1")
+    return once.groupBy("cid").agg(F.count("*").alias("lone"))
+
+
 def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, n_shingles, component_id, group_id, key), one row per row of docs; sets with a Jaccard similarity of percent / 100 or more link.
 
@@ -181,27 +186,18 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
     keyed = d.select("doc_id", "text", F.xxhash64("text").alias("key"))
     every = common.cut(keyed.mapInArrow(prefixes, "doc_id long, key long, n long, d1 long, d2 long, prefix array<long>"), "prefixes")
     rows = common.cut(every.drop("prefix"), "rows")
-    classes = every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    classes = common.cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("r"), F.first("prefix").alias("prefix"))
+    classes = classes.select("n", "d1", "d2", "prefix", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("rep_key"), F.monotonically_increasing_id().alias("cid"))
+    classes = common.cut(classes, "classes")
 
     # 2. Classes whose prefixes share enough.
     enough = F.floor(_least(F.col("n"), percent) * MORE) + 1
-    post = classes.select("cid", F.explode("prefix").alias("token"))
-    shared = post.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    post = common.cut(post.join(shared, "token"), "postings")
+    alone = _lone(classes.select("cid", F.explode("prefix").alias("token")))
+    alive = classes.select("cid", "n", "d1", "rep", "rep_key", F.size("prefix").alias("size")).join(alone, "cid", "left")
+    alive = common.cut(alive.filter(F.col("size") - F.coalesce("lone", F.lit(0)) >= enough).drop("size", "lone"), "alive")
     kept = common.cut(classes.drop("prefix"), "kept")
     common.discard(every, classes)
     classes = kept
-    for left in reversed(range(ROUNDS)):
-        alive = post.groupBy("cid").agg(F.count("*").alias("c")).join(classes, "cid").filter(F.col("c") >= enough).drop("c")
-        alive = common.cut(alive, "alive")
-        if not left:
-            break
-        less = post.join(alive.select("cid"), "cid")
-        shared = less.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-        old, post = post, common.cut(less.join(shared, "token"), "postings")
-        common.discard(old)
-    common.discard(post)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,11 +208,15 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
                 d1 = pa.array([int(fingerprint.mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([*rest, d1, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["cid", "n", "d1", "own", "tokens"])
 
-    reps = d.join(alive.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "cid", "n", "d1")
+    reps = keyed.join(alive, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cid", "n", "d1")
     sets = reps.mapInArrow(full, "cid long, n long, d1 long, own long, tokens array<long>").filter("own = d1").select("cid", "n", "tokens")
     sets = common.cut(sets.dropDuplicates(["cid"]), "sets")
 
     # 3. Global order by frequency, and blocks.
+    alone = _lone(sets.select("cid", F.explode("tokens").alias("token")))
+    rest = sets.select("cid", "n").join(alone, "cid", "left").filter(F.col("n") - F.coalesce("lone", F.lit(0)) >= _least(F.col("n"), percent))
+    old, sets = sets, common.cut(sets.join(rest.select("cid"), "cid"), "sets")
+    common.discard(old)
     tokens = sets.select("cid", "n", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     ordered = tokens.join(counts, "token").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))

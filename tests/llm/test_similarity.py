@@ -68,7 +68,7 @@ def corpus(seed, n=120):
             texts.append(" ".join(w))
     rows = [(i, t) for i, t in enumerate(texts)]
     r.shuffle(rows)
-    return rows + [rows[40], (rows[41][0], rows[42][1]), (None, rows[43][1])]
+    return rows + [rows[40], (rows[41][0], rows[42][1]), (None, rows[43][1]), (None, (rows[44][1] or "q") + " tail"), (None, (rows[45][1] or "q") + " tail")]
 
 
 @pytest.mark.parametrize("seed,k,percent,block", [(1, 4, 85, 10**6), (2, 5, 80, 600), (3, 4, 85, 300)])
