@@ -37,7 +37,11 @@ class Encoder:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
+        self.keys = self.values = None  # built when first needed: a worker that only decodes does without
+        self.cache: dict[str, bytes] = {}
+
+    def _pairs(self) -> None:
+        ranks, pairs = self.ranks, {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
@@ -45,10 +49,11 @@ class Encoder:
                     pairs[a << 20 | b] = rank
         self.keys = np.array(sorted(pairs), np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.cache: dict[str, bytes] = {}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the pairs (a, b); NONE if they don't merge. Ids under 0 are padding."""
+        if self.keys is None:
+            self._pairs()
         key = a << 20 | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.values[at], NONE)
@@ -180,6 +185,7 @@ def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", ids_col:
             np.cumsum([len(c) // 4 for c in codes], out=offsets[1:])
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(codes), "<i4")))
             yield _replaced(batch, ids_col, ids)
+        enc.cache.clear()  # workers outlive their tasks
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != ids_col)
     return docs.mapInArrow(run, f"{kept}, `{ids_col}` array<int>" if kept else f"`{ids_col}` array<int>")
