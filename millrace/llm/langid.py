@@ -138,7 +138,7 @@ def _lanes(net: Network, flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -
     length = np.minimum(end - begin, CHUNK)
     steps = int(length.max())
     at = begin[None, :] + np.arange(steps)[:, None]
-    x = np.where(np.arange(steps)[:, None] < length[None, :], flat[np.minimum(at, len(flat) - 1)], PAD).astype(np.int32)
+    x = np.where(np.arange(steps)[:, None] < length[None, :], flat[np.minimum(at, len(flat) - 1)].astype(np.int32), PAD)
     table = net.table.copy()
     table[:, :h] += 0.5
     table[:, :h, PAD] = -1e9  # padding leaves the state as it is

@@ -205,12 +205,13 @@ def test_quality_bounds(spark):
     df = spark.createDataFrame([(0, 50), (3, 200), (40, 5000)], "k long, n long")
     for r in df.select("k", "n", quality._log_cdf(F.col("k"), F.col("n"), 0.01).alias("p")).collect():
         assert r.p == pytest.approx(math.log(sum(math.comb(r.n, i) * 0.01**i * 0.99 ** (r.n - i) for i in range(r.k + 1))), rel=1e-6)
-    rows = [(i, "good words here we go now and then some more of it all " * 2 + str(i), "en" if i % 9 else "de") for i in range(3000)] + [(9000 + i, "#### $$$$ %%%% &&&& " * 5 + " ".join(f"#w{j}" for j in range(90)), s) for i, s in enumerate(["en", "de", None])]
+    rows = [(i, "good words here we go now and then some more of it all " + str(i), "en" if i % 9 else "de") for i in range(3000)] + [(9000 + i, "#### $$$$ %%%% &&&& " * 5 + " ".join(f"#w{j}" for j in range(90)), s) for i, s in enumerate(["en", "de", None])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(3000)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     docs = docs.filter("doc_id >= 9000 or doc_id % 2 = 0 or lang = 'en'")
     judged = {r.doc_id: r.kept for r in quality.quality(docs, labels).withColumn("kept", F.col("kept") | F.col("base_failed")).collect()}
     assert all(k for d, k in judged.items() if d < 9000)
+    assert [judged[d] for d in (9000, 9001, 9002)] == [False, True, True]
     assert quality.quality(docs, labels.limit(0)).filter("not kept and not base_failed").count() == 0
     assert quality.quality(docs.limit(0), labels).count() == 0
 
