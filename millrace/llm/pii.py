@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "id")
 SPAN = "array<struct<start:int,end:int,kind:int,m:string>>"
 MARK, MARK_FREE = chr(0xE000), chr(0xE001)  # private use; neither matches any pattern here
-#: Every ip, card or phone holds this; most texts do not.
+#: Every base ip, card or phone holds this; most texts do not.
 NUMERIC = r"[0-9][0-9 ().+/-]{5,}[0-9]"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 IP_FITS = r"\A0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}\z"
@@ -29,14 +29,14 @@ IP_FITS = r"\A0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-#: Generators: kind, pattern. Quantifiers are bounded, so long texts cannot blow the matcher's stack.
+#: Generators: kind, what every match holds (texts without it are not searched), pattern. Quantifiers are bounded, so long texts cannot blow the matcher's stack.
 GENERATORS = (
-    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[a-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[a-z0-9-]{2,63}){1,4}"),
-    ("phone", r"(?<![0-9A-Za-z+.,/(-])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){1,5}(?![0-9A-Za-z])"),
-    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
-    ("card", r"(?<![0-9A-Za-z.])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9A-Za-z])"),
-    ("id", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
-    ("id", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
+    ("email", r"(?i)[(\[{]at[)\]}]| at ", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[a-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[a-z0-9-]{2,63}){1,4}"),
+    ("phone", r"[0-9]{2}\)?[ ./-]{1,2}\(?[0-9]{2}", r"(?<![0-9A-Za-z+.,/(-])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){1,5}(?![0-9A-Za-z])"),
+    ("ip", r"[0-9A-Fa-f]:[0-9A-Fa-f]", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
+    ("card", r"[0-9]{4}[._/][0-9]{4}", r"(?<![0-9A-Za-z.])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9A-Za-z])"),
+    ("id", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
+    ("id", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
 )
 #: Context words, by kind, looked for in the CONTEXT characters before a candidate.
 CONTEXT = 32
@@ -259,10 +259,8 @@ def find(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     order = lambda c: F.transform(F.sort_array(F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["m"].alias("m")))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["m"].alias("m")))
     d = d.withColumn("base", order(F.concat("__email", "__ip", "__card", "__phone")))
     t, names = F.col("__t"), []
-    spelled = t.rlike(r"(?i)[(\[{]at[)\]}]| dot ")
-    for i, (kind, pattern) in enumerate(GENERATORS):
-        gate = spelled if kind == "email" else F.contains(t, F.lit(":")) if kind == "ip" else F.col("__num")
-        d = _matches(d, f"__g{i}", gate, pattern, KINDS.index(kind))
+    for i, (kind, gate, pattern) in enumerate(GENERATORS):
+        d = _matches(d, f"__g{i}", t.rlike(gate), pattern, KINDS.index(kind))
         names.append(f"__g{i}")
     apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
     d = d.withColumn("__c", F.filter(F.concat(*names), lambda c: F.forall("base", lambda b: apart(c, b))))

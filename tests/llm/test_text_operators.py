@@ -173,6 +173,29 @@ def test_pii_added_spans(spark):
     assert pii.model()[2] > 0.97
 
 
+#: Every separator form of the generators that a made example can have, each alone in a short text.
+SPELLED = [f"jane{a}example{d}{z}" for a in (" at ", " AT ", "(at)", " [at] ", "{At}") for d, z in (("(dot)", "com"), (" [dot] ", "org"), (" {DOT} ", "net"), (" dot ", "de"))]
+SPELLED += [f"4111{s}1111{s}1111{s}1111" for s in "._/"]
+
+
+def test_pii_separator_forms_alone(spark):
+    df = spark.createDataFrame([(t,) for t in SPELLED], "text string")
+    for x in pii.find(df).collect():
+        assert [(s.start, s.end, s.m) for s in x.spans] == [(0, len(x.text), x.text)]
+
+
+def test_pii_gates_hold_in_every_match(spark):
+    """Random texts and made examples: where a generator matches, so does its gate."""
+    r = random.Random(4)
+    parts = ["jane", "a1", " at ", "(at)", "[AT]", "{at}", " dot ", "(dot)", "[dot]", ".", "com", "12", "(345)", " ", "-", "/", "_", "1234", "GB29", "NWBK", "AB12ABCD", "f", ":", "ab:c:1:2:3:4:5:6"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(2, 12))) for _ in range(4000)] + [pii._example(r)[1] for _ in range(400)]
+    texts += ["call 12-345", "AB12ABCDEFGHABCD", *SPELLED]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for _, gate, pattern in pii.GENERATORS:
+        hit = df.filter(F.col("t").rlike(pattern))
+        assert hit.count() and hit.filter(~F.col("t").rlike(gate)).count() == 0
+
+
 def test_pii_features_agree(spark):
     r = random.Random(9)
     some = [pii._example(r)[:3] for _ in range(150)]
