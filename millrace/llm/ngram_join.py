@@ -7,10 +7,14 @@
 3. Survivors with too many shingles of their own go too. The rest's shingles are counted and globally ordered, rarest first; those in one survivor only cannot be shared. What is
    left of the classes is cut into blocks, the components of "a rarest-first prefix shingle in common": linked sets share a block.
 4. In a block the ordered sets are stored in a trie. A set is looked up by one traversal that carries the overlap of the shared
-   path; a subtree is left as soon as the overlap so far plus what can remain of either side misses the bound, or when all its sets
-   are in the component of the one looked up (links within a component change nothing).
-5. Blocks over BLOCK_TOKENS are dealt into sub-blocks that share a few pivots; then whatever is not in the block's largest component
-   is looked up in every sub-block. No block is cut off, none is held whole.
+   path; a subtree is left as soon as the overlap so far plus what can remain of either side misses the bound, and taken whole as
+   soon as the overlap so far is enough for its largest set. Every link is counted, weighted by the rows of the class; what leaves
+   a block are the counts and a spanning forest, never its pairs.
+5. Blocks over BLOCK_TOKENS are dealt into sub-blocks, and each two sub-blocks are compared once. No block is cut off, none is held
+   whole.
+
+Where only the components are asked for, links within one change nothing: subtrees in the component of the set looked up are left,
+and of large blocks, the sub-blocks share a few pivots and only what is not in the largest component is looked up in all of them.
 """
 
 from __future__ import annotations
@@ -145,6 +149,74 @@ def join_block(sets: list[np.ndarray], sizes: list[int], percent: int, asked: li
     return out
 
 
+def count_block(sets: list[np.ndarray], sizes: list[int], weights: list[int], percent: int, first: list[bool] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Spanning forest of the links of sets (as for join_block), and for each set the weights of all it links with. first: only links
+    between these sets and the others."""
+    held = sorted((i for i in range(len(sets)) if first is None or not first[i]), key=lambda i: sets[i].tolist())
+    looked = held if first is None else [i for i in range(len(sets)) if first[i]]
+    parent, out, counts = list(range(len(sets))), [], np.zeros(len(sets), np.int64)
+    if not held or not looked:
+        return out, counts
+    trie = Trie([sets[i] for i in held], [sizes[i] for i in held])
+    ranks = np.unique(np.concatenate(sets))
+    sets = [np.searchsorted(ranks, s) for s in sets]
+    mask = np.zeros(len(ranks), bool)
+    upto = np.concatenate([[0], np.cumsum([weights[i] for i in held])]).tolist()
+    change = np.zeros(len(held) + 1, np.int64)  # of the counts from one held set to the next
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def need(a: int, b: int) -> int:
+        return -(-percent * (a + b) // (100 + percent))
+
+    def link(q: int, low: int, high: int, same: bool) -> None:
+        counts[q] += upto[high] - upto[low]
+        change[low] += weights[q]
+        change[high] -= weights[q]
+        for i in held[low : low + 1 if same else high]:
+            if (a := find(i)) != (b := find(q)):
+                out.append((q, i))
+                parent[a] = b
+
+    for k, q in enumerate(looked):
+        after = k + 1 if first is None else 0  # the sets before it have looked it up
+        own, n = sets[q], sizes[q]
+        mask[own] = True
+        stack = [(0, 0)]
+        while stack:
+            node, overlap = stack.pop()
+            low, high = trie.low[node], trie.high[node]
+            least, most = trie.least[node], trie.most[node]
+            if high <= after or 100 * most < percent * n or 100 * n < percent * least:
+                continue
+            start, end = trie.start[node], trie.end[node]
+            left = len(own)
+            if end > start:
+                path = sets[held[low]][start:end]
+                overlap += int(np.count_nonzero(mask[path]))
+                left -= int(np.searchsorted(own, path[-1], "right"))
+            if overlap >= need(n, most):
+                link(q, max(low, after), high, trie.same[node])
+                trie.same[node] = trie.same[node] or low >= after
+                continue
+            if overlap + min(left, trie.deepest[node] - end) < need(n, max(least, -(-percent * n // 100))):
+                continue
+            # sets that end at this node come first in its range
+            i = low
+            while i < high and len(sets[held[i]]) == end:
+                if i >= after and overlap >= need(n, sizes[held[i]]):
+                    link(q, i, i + 1, True)
+                i += 1
+            stack.extend((x, overlap) for x in reversed(trie.kids[node]))
+        mask[own] = False
+    counts[held] += np.cumsum(change)[:-1]
+    return out, counts
+
+
 def _least(n: Column, percent: int) -> Column:
     """ceil(percent / 100 * n), in whole numbers."""
     return F.floor((n * percent + 99) / 100)
@@ -157,10 +229,10 @@ def _lone(post: DataFrame) -> DataFrame:
     return once.groupBy("cid").agg(F.count("*").alias("lone"))
 
 
-def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, group_id, key), one row per row of docs; sets with a Jaccard similarity of percent / 100 or more link.
+def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, count: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, n_links, component_id, group_id, key), one row per row of docs; sets with a Jaccard similarity of percent / 100 or more link.
 
-    Null texts and texts without words have empty sets and link with nothing. A component's id is its smallest known doc_id. Rows
+    n_links is the number of other rows that a row links with; without count, it is left out. Null texts and texts without words have empty sets and link with nothing. A component's id is its smallest known doc_id. Rows
     with equal texts or ids are linked as rows; null ids are never smallest. An empty table gives an empty result. Other columns
     are ignored. group_id (null for empty sets) numbers the components; key is a hash of the row's text. Shingles are compared by
     64-bit hashes.
@@ -186,8 +258,8 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
     keyed = d.select("doc_id", "text", F.xxhash64("text").alias("key"))
     every = common.cut(keyed.mapInArrow(prefixes, "doc_id long, key long, n long, d1 long, d2 long, prefix array<long>"), "prefixes")
     rows = common.cut(every.drop("prefix"), "rows")
-    classes = every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("r"), F.first("prefix").alias("prefix"))
-    classes = classes.select("n", "d1", "d2", "prefix", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("rep_key"), F.monotonically_increasing_id().alias("cid"))
+    classes = every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("r"), F.first("prefix").alias("prefix"), F.count("*").alias("weight"))
+    classes = classes.select("n", "d1", "d2", "weight", "prefix", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("rep_key"), F.monotonically_increasing_id().alias("cid"))
     classes = common.cut(classes, "classes")
 
     # 2. Classes whose prefixes share enough.
@@ -229,7 +301,7 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
     blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct()).toDF("cid", "block")
     sizes = ordered.select("cid", F.size("s").alias("len")).join(blocks, "cid").groupBy("block").agg(F.sum("len").alias("len"))
     blocks = blocks.join(sizes.select("block", F.ceil(F.col("len") / block_tokens).cast("int").alias("subs")), "block")
-    data = ordered.join(blocks, "cid").select("block", "subs", "cid", "n", F.transform("s", lambda x: x["df"]).alias("df"), F.transform("s", lambda x: x["token"]).alias("tok"))
+    data = ordered.join(blocks, "cid").join(classes.select("cid", "weight"), "cid").select("block", "subs", "cid", "n", "weight", F.transform("s", lambda x: x["df"]).alias("df"), F.transform("s", lambda x: x["token"]).alias("tok"))
     data = common.cut(data, "blocks")
     common.discard(ordered)
 
@@ -238,56 +310,74 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
         held, key = [], None
 
         def solve():
-            df, tok = (np.concatenate([h[i] for h in held]) for i in (3, 4))
+            df, tok = (np.concatenate([h[i] for h in held]) for i in (4, 5))
             order = np.lexsort((tok, df))
             new = np.concatenate([[True], tok[order][1:] != tok[order][:-1]])
             rank = np.empty(len(tok), np.int64)
             rank[order] = np.cumsum(new)
-            ends = np.cumsum([len(h[4]) for h in held]).tolist()
-            found = join_block([rank[a:b] for a, b in zip([0, *ends], ends)], [h[1] for h in held], percent, None if all(h[2] for h in held) else [h[2] for h in held])
-            return pa.RecordBatch.from_arrays([pa.array([held[a][0] for a, _ in found], pa.int64()), pa.array([held[b][0] for _, b in found], pa.int64())], names=["u", "v"])
+            ends = np.cumsum([len(h[5]) for h in held]).tolist()
+            sets, sizes, asked, n = [rank[a:b] for a, b in zip([0, *ends], ends)], [h[1] for h in held], [h[2] for h in held], []
+            if count:
+                found, n = count_block(sets, sizes, [h[3] for h in held], percent, None if key[1] == key[2] else asked)
+            else:
+                found = join_block(sets, sizes, percent, None if all(asked) else asked)
+            n = [(held[i][0], x) for i, x in enumerate(n) if x]
+            u, v = [held[a][0] for a, _ in found] + [c for c, _ in n], [held[b][0] for _, b in found] + [None] * len(n)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([None] * len(found) + [x for _, x in n], pa.int64())], names=["u", "v", "n_links"])
 
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns[:6]]
+            cols = [c.to_pylist() for c in b.columns[:7]]
             for i, row in enumerate(zip(*cols)):
                 if row[:3] != key:
                     if len(held) > 1:
                         yield solve()
                     held, key = [], row[:3]
-                held.append((row[3], row[4], row[5], b.column(6)[i].values.to_numpy(), b.column(7)[i].values.to_numpy()))
+                held.append((row[3], row[4], row[5], row[6], b.column(7)[i].values.to_numpy(), b.column(8)[i].values.to_numpy()))
         if len(held) > 1:
             yield solve()
 
     def links(df: DataFrame) -> DataFrame:
-        dealt = df.select("block", "sub", "part", "cid", "n", "asked", "df", "tok").repartition("block", "sub", "part").sortWithinPartitions("block", "sub", "part", "cid")
-        return dealt.mapInArrow(local, "u long, v long")
+        dealt = df.select("block", "sub", "part", "cid", "n", "asked", "weight", "df", "tok").repartition("block", "sub", "part").sortWithinPartitions("block", "sub", "part", "cid")
+        return dealt.mapInArrow(local, "u long, v long, n_links long")
 
     zero, yes = F.lit(0), F.lit(True)
-    found = links(data.filter("subs = 1").withColumns({"sub": zero, "part": zero, "asked": yes}))
-    large = data.filter("subs > 1")
-    if not large.isEmpty():
-        dealt = large.withColumns({"sub": F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int"), "part": zero, "asked": yes})
-        pivots = large.groupBy("block").agg(*[F.min(F.struct(F.xxhash64("cid", F.lit(i)), F.col("cid"))).alias(f"p{i}") for i in range(PIVOTS)])
-        pivots = pivots.select(F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.cid") for i in range(PIVOTS)]))).alias("cid"))
-        copies = large.join(pivots, "cid").select("*", F.explode(F.sequence(zero, F.col("subs") - 1)).alias("sub")).withColumns({"part": zero, "asked": yes})
-        once = F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int") != F.col("sub")
-        first = common.cut(links(dealt.unionByName(copies.filter(once))), "links")
-        roots = graph.components(first).toDF("cid", "root")
-        placed = large.select("block", "cid", "subs", F.size("tok").alias("len")).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        most = placed.groupBy("block", "root").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("root", "c").alias("giant"))
-        rest = placed.join(most, "block").filter("root <> giant")
-        total = rest.groupBy("block").agg(F.ceil(F.sum("len") / block_tokens).cast("int").alias("parts"))
-        rest = common.cut(rest.select("cid"), "rest")
-        total = common.cut(total, "parts")
-        everyone = large.join(total, "block").withColumns({"sub": F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int"), "asked": F.lit(False)}).select("*", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"))
-        some = large.join(rest, "cid").join(total, "block").withColumns({"part": F.pmod(F.xxhash64("cid", F.lit("part")), F.col("parts")).cast("int"), "asked": yes}).select("*", F.explode(F.sequence(zero, F.col("subs") - 1)).alias("sub"))
-        found = found.unionByName(first).unionByName(links(everyone.unionByName(some)))
-    roots = graph.components(common.cut(found, "links")).toDF("cid", "root")
-    known = classes.select("n", "d1", "d2", "cid", "rep").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    if count:
+        # Each two tiles meet under (smaller, larger), a tile with itself once; two tiles hold one sub-block's tokens.
+        tiles = F.when(F.col("subs") > 1, F.col("subs") * 2).otherwise(1)
+        placed = data.withColumn("tile", F.pmod(F.xxhash64("cid"), tiles).cast("int")).select("*", F.explode(F.sequence(zero, tiles - 1)).alias("other"))
+        found = links(placed.withColumns({"sub": F.least("tile", "other"), "part": F.greatest("tile", "other"), "asked": F.col("tile") <= F.col("other")}))
+    else:
+        found = links(data.filter("subs = 1").withColumns({"sub": zero, "part": zero, "asked": yes}))
+        large = data.filter("subs > 1")
+        if not large.isEmpty():
+            dealt = large.withColumns({"sub": F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int"), "part": zero, "asked": yes})
+            pivots = large.groupBy("block").agg(*[F.min(F.struct(F.xxhash64("cid", F.lit(i)), F.col("cid"))).alias(f"p{i}") for i in range(PIVOTS)])
+            pivots = pivots.select(F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.cid") for i in range(PIVOTS)]))).alias("cid"))
+            copies = large.join(pivots, "cid").select("*", F.explode(F.sequence(zero, F.col("subs") - 1)).alias("sub")).withColumns({"part": zero, "asked": yes})
+            once = F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int") != F.col("sub")
+            first = common.cut(links(dealt.unionByName(copies.filter(once))), "links")
+            roots = graph.components(first).toDF("cid", "root")
+            placed = large.select("block", "cid", "subs", F.size("tok").alias("len")).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+            most = placed.groupBy("block", "root").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("root", "c").alias("giant"))
+            rest = placed.join(most, "block").filter("root <> giant")
+            total = rest.groupBy("block").agg(F.ceil(F.sum("len") / block_tokens).cast("int").alias("parts"))
+            rest = common.cut(rest.select("cid"), "rest")
+            total = common.cut(total, "parts")
+            everyone = large.join(total, "block").withColumns({"sub": F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int"), "asked": F.lit(False)}).select("*", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"))
+            some = large.join(rest, "cid").join(total, "block").withColumns({"part": F.pmod(F.xxhash64("cid", F.lit("part")), F.col("parts")).cast("int"), "asked": yes}).select("*", F.explode(F.sequence(zero, F.col("subs") - 1)).alias("sub"))
+            found = found.unionByName(first).unionByName(links(everyone.unionByName(some)))
+    found = common.cut(found, "links")
+    roots = graph.components(found).toDF("cid", "root")
+    known = classes.select("n", "d1", "d2", "weight", "cid", "rep").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = known.join(least, "root").select("n", "d1", "d2", "root", "component_id")
-    out = rows.join(known, ["n", "d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("root").alias("group_id"), "key")
+    known = known.join(least, "root")
+    if count:
+        known = known.join(found.filter("n_links > 0").groupBy("u").agg(F.sum("n_links").alias("others")), F.col("cid") == F.col("u"), "left")
+        known = known.withColumn("n_links", F.col("weight") - 1 + F.coalesce("others", F.lit(0)))
+    n_links = ["n_links"] if count else []
+    out = rows.join(known.select("n", "d1", "d2", "root", "component_id", *n_links), ["n", "d1", "d2"], "left")
+    n_links = [F.coalesce(c, F.lit(0)).alias(c) for c in n_links]
+    return out.select("doc_id", F.col("n").alias("n_shingles"), *n_links, F.coalesce("component_id", "doc_id").alias("component_id"), F.col("root").alias("group_id"), "key")
 
 
 def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,7 +385,7 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str =
 
     Rows without words are groups of their own and stay. Of rows equal in id and text, one stays (any, if other columns differ).
     """
-    found = similar(docs, k=k, percent=percent, id_col=id_col, text_col=text_col)
+    found = similar(docs, k=k, percent=percent, id_col=id_col, text_col=text_col, count=False)
     best = found.filter("group_id is not null").groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("b"))
     best = common.cut(best.select(F.col("b.doc_id").alias("__id"), F.col("b.key").alias("__key")).distinct(), "best")
     keyed = docs.withColumn("__row", F.xxhash64(text_col))

@@ -79,6 +79,16 @@ def test_ngram_join(spark, seed, k, percent, block):
     assert got == similar_rows(rows, k, percent)
 
 
+@pytest.mark.parametrize("seed,k,percent,block", [(1, 4, 85, 10**6), (3, 4, 70, 300)])
+def test_ngram_join_counts_links(spark, seed, k, percent, block):
+    rows = corpus(seed)
+    sets = [shingles(t, k) for _, t in rows]
+    n = [sum(1 for j, b in enumerate(sets) if i != j and a and b and 100 * len(a & b) >= percent * len(a | b)) for i, a in enumerate(sets)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.similar(df, k=k, percent=percent, block_tokens=block).collect()
+    assert max(n) > 2 and sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in got) == sorted((str(i), len(s), x) for (i, _), s, x in zip(rows, sets, n))
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -105,6 +115,22 @@ def test_join_block_is_brute_force():
         assert components(ids, ngram_join.join_block(sets, sizes, 70, asked)) == components(ids, links)
 
 
+def test_count_block_is_brute_force():
+    r = random.Random(6)
+    for _ in range(200):
+        sets = []
+        for _ in range(r.randint(1, 14)):
+            base = r.choice(sets).tolist() if sets and r.random() < 0.7 else r.sample(range(60), r.randint(3, 25))
+            sets.append(np.array(sorted(set(base) ^ set(r.sample(range(60), r.randint(0, 2)))) or [1]))
+        sizes, weights = [len(s) + r.randint(0, 1) for s in sets], [r.randint(1, 5) for _ in sets]
+        first = [r.random() < 0.5 for _ in sets] if r.random() < 0.5 else None
+        links = [(a, b) for a in range(len(sets)) for b in range(len(sets)) if a != b and (first is None or first[a] != first[b]) and 100 * (k := len(np.intersect1d(sets[a], sets[b]))) >= 70 * (sizes[a] + sizes[b] - k)]
+        ids = list(range(len(sets)))
+        forest, counts = ngram_join.count_block(sets, sizes, weights, 70, first)
+        assert components(ids, forest) == components(ids, links)
+        assert counts.tolist() == [sum(weights[b] for a, b in links if a == i) for i in ids]
+
+
 def removed(rows, window):
     words = [WORD.findall(t or "") for _, t in rows]
     first = {}
