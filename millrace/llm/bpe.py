@@ -20,6 +20,8 @@ CACHE_PIECES = 400_000
 #: Texts of so many characters are cut and encoded at a time.
 CHUNK_CHARS = 1_000_000
 MATRIX_BYTES = 48
+#: Tokens decoded at a time.
+RUN = 100_000
 NONE = np.int64(1 << 40)
 
 
@@ -36,6 +38,7 @@ class Encoder:
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+        self.length = np.array([len(b) for b in self.bytes_of], np.int32)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.keys = self.values = None  # built when first needed: a worker that only decodes does without
         self.cache: dict[str, bytes] = {}
@@ -132,6 +135,17 @@ class Encoder:
         of = self.bytes_of
         return b"".join([of[i] for i in ids])
 
+    def decode_at(self, ids: np.ndarray, ends: np.ndarray) -> bytes:
+        """As decode, RUN tokens at a time, each run put where the offsets say; offsets that aren't those of the ids raise."""
+        if len(ids) != len(ends) or (np.diff(ends, prepend=0) != self.length[ids]).any():
+            raise ValueError("offsets are not those of the ids")
+        out, at = bytearray(int(ends[-1]) if len(ends) else 0), 0
+        for k in range(0, len(ids), RUN):
+            upto = int(ends[min(k + RUN, len(ids)) - 1])
+            out[at:upto] = self.decode(ids[k : k + RUN].tolist())
+            at = upto
+        return bytes(out)
+
 
 def encode_pieces(texts: list[str], cache: dict[str, bytes], encode_new) -> Iterator[bytes]:
     """For each text, the cached codes of its slices joined; encode_new gives those of slices that the cache lacks."""
@@ -168,10 +182,11 @@ def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([c for n, c in zip(batch.schema.names, batch.columns) if n != name] + [values], names=[n for n in batch.schema.names if n != name] + [name])
 
 
-def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with ids (array<int>) added: each text by the pattern and the ranks, without special tokens.
+def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", ids_col: str = "ids", offsets_col: str = "offsets") -> DataFrame:
+    """docs with ids and offsets (array<int>) added: each text by the pattern and the ranks, without special tokens, and where each
+    token ends in the text's bytes.
 
-    Null text counts as empty and has no ids. A column named like ids_col is replaced. Rows stand for themselves; ties, repeats and
+    Null text counts as empty and has no ids. Columns named like ids_col or offsets_col are replaced. Rows stand for themselves; ties, repeats and
     empty tables need no care. Texts of any length are encoded whole.
     """
     common.arrow_batches(docs.sparkSession)
@@ -184,22 +199,31 @@ def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", ids_col:
             offsets = np.zeros(len(codes) + 1, np.int32)
             np.cumsum([len(c) // 4 for c in codes], out=offsets[1:])
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(codes), "<i4")))
-            yield _replaced(batch, ids_col, ids)
+            ends = [np.cumsum(enc.length[np.frombuffer(c, "<i4")], dtype=np.int32) for c in codes]
+            ends = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ends) if ends else np.zeros(0, np.int32)))
+            yield _replaced(_replaced(batch, ids_col, ids), offsets_col, ends)
         enc.cache.clear()  # workers outlive their tasks
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != ids_col)
-    return docs.mapInArrow(run, f"{kept}, `{ids_col}` array<int>" if kept else f"`{ids_col}` array<int>")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in (ids_col, offsets_col))
+    added = f"`{ids_col}` array<int>, `{offsets_col}` array<int>"
+    return docs.mapInArrow(run, f"{kept}, {added}" if kept else added)
 
 
-def decode(df: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """df with the bytes of its ids added (binary; null ids: empty). Ids outside the vocabulary raise."""
+def decode(df: DataFrame, ranks_path: str, *, ids_col: str = "ids", offsets_col: str = "offsets", out_col: str = "decoded") -> DataFrame:
+    """df with the bytes of its ids added (binary; null ids: empty), by their offsets if df has them (not null). Ids outside the
+    vocabulary and offsets of other ids raise."""
     common.arrow_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
         for batch in batches:
             col = batch.column(batch.schema.names.index(ids_col))
-            yield _replaced(batch, out_col, pa.array([enc.decode(x or []) for x in (v.as_py() for v in col)], pa.binary()))
+            ends = batch.column(batch.schema.names.index(offsets_col)) if offsets_col in batch.schema.names else [pa.scalar(None)] * len(col)
+            out = [
+                enc.decode_at(v.values.to_numpy(), e.values.to_numpy()) if v.is_valid and e.is_valid else enc.decode(v.as_py() or [])
+                for v, e in zip(col, ends)
+            ]
+            yield _replaced(batch, out_col, pa.array(out, pa.binary()))
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out_col)
     return df.mapInArrow(run, f"{kept}, `{out_col}` binary")

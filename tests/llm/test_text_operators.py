@@ -31,6 +31,19 @@ def test_bpe_is_tiktoken(spark):
     assert bpe.encode(df.limit(0), MULTI).count() == 0
 
 
+def test_bpe_offsets_are_kept_and_used(spark):
+    df = spark.createDataFrame(list(enumerate(HARD)), "doc_id int, text string")
+    coded = bpe.encode(df, MULTI)
+    of = bpe.encoder(MULTI).bytes_of
+    for r in coded.collect():
+        raw = (HARD[r.doc_id] or "").encode()
+        assert [raw[a:b] for a, b in zip([0, *r.offsets], r.offsets)] == [of[i] for i in r.ids]
+    moved = coded.filter("size(ids) > 0").withColumn("offsets", F.transform("offsets", lambda x: x + 1))
+    with pytest.raises(Exception, match="offsets are not those"):
+        bpe.decode(moved, MULTI).collect()
+    assert [bytes(r.decoded).decode() for r in bpe.decode(coded.drop("offsets"), MULTI).orderBy("doc_id").collect()] == [t or "" for t in HARD]
+
+
 def test_bpe_matrix_merge_is_the_heap_merge():
     e, r = bpe.encoder(MULTI), random.Random(3)
     some = [bytes(r.choice(b"aetnio 'r\xc3\xa9") for _ in range(r.randint(2, 48))) for _ in range(400)]
