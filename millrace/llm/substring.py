@@ -1,10 +1,9 @@
-"""Substring deduplication: relative Lempel-Ziv parsing against an index of the whole corpus.
+"""Substring deduplication: an exact join of window fingerprints, in place of relative Lempel-Ziv factoring.
 
 A word goes if a window of WINDOW words that covers it also starts in a document with a smaller id. A factor can therefore only
-matter if it is WINDOW words long, and the index of a reference block holds, instead of suffixes, the fingerprints of the block's
-windows with the smallest document each starts in. Blocks are hash partitions, so every window meets the one block that can hold
-it. Each document is parsed left to right: a factor grows greedily as long as the window at its end is found in a smaller document
-and ends where it is not; since every window is looked up by itself, those that straddle two sources are found like the others.
+matter if it is WINDOW words long, and nothing is matched or extended against reference text: the fingerprints of all windows are
+grouped, with the smallest document each starts in, and every window is looked up by itself, so those that straddle two sources are
+found like the others. factors() only merges the found windows of a document, left to right, into what the factors would cover.
 
 Only windows that can occur twice are indexed: each window is represented by its smallest GRAM-word hash (equal windows share
 it), and only windows whose representative occurs in two documents go on. That moves about 2 / (WINDOW - GRAM + 2) of the words.
