@@ -4,7 +4,7 @@ Base spans (email, ip, card, phone) are exact patterns and always stay. High-rec
 overlap: emails written out ("at", "dot"), phone numbers without "+", IPv6 addresses, cards with odd separators, national and bank
 account numbers. Boosted trees score each by format and context; a kind's threshold is calibrated on held-out examples to a
 bounded share of false alarms. The trees are trained here, on made examples (N_TRAIN of them, fixed seed), and become one
-expression. Generated spans that overlap a base span or a better one are dropped.
+expression. Generated spans that overlap a base span or a better one that is kept are dropped.
 """
 
 from __future__ import annotations
@@ -249,6 +249,16 @@ def _sql_value(tree: tuple | float, v: Column) -> Column:
     return F.when(F.get(v, F.lit(tree[0])) <= tree[1], _sql_value(tree[2], v)).otherwise(_sql_value(tree[3], v))
 
 
+def _apart(a: Column, b: Column) -> Column:
+    return (a["end"] <= b["start"]) | (b["end"] <= a["start"])
+
+
+def _chosen(scored: Column) -> Column:
+    """Spans c of scored (array of structs score, c), best first, that overlap none chosen before; of equal scores the first span."""
+    best = F.sort_array(F.transform(scored, lambda x: F.struct((-x["score"]).alias("worse"), x["c"].alias("c"))))
+    return F.aggregate(best, F.array().cast(SPAN), lambda kept, x: F.when(F.forall(kept, lambda k: _apart(k, x["c"])), F.concat(kept, F.array(x["c"]))).otherwise(kept))
+
+
 def find(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs with base (array of base spans) and spans (base and added) added, ordered by start, then kind; start and end in code
     points, end exclusive; kind as index of KINDS.
@@ -262,8 +272,7 @@ def find(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     for i, (kind, gate, pattern) in enumerate(GENERATORS):
         d = _matches(d, f"__g{i}", t.rlike(gate), pattern, KINDS.index(kind))
         names.append(f"__g{i}")
-    apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
-    d = d.withColumn("__c", F.filter(F.concat(*names), lambda c: F.forall("base", lambda b: apart(c, b))))
+    d = d.withColumn("__c", F.filter(F.concat(*names), lambda c: F.forall("base", lambda b: _apart(c, b))))
     trees, thresholds, _ = model()
     before = lambda c: F.substring(t, F.greatest(c["start"] - CONTEXT, F.lit(0)) + 1, F.least(c["start"], F.lit(CONTEXT)))
     d = d.withColumn("__f", F.transform("__c", lambda c: F.struct(c.alias("c"), _features(c, before(c)).alias("f"))))
@@ -276,8 +285,7 @@ def find(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
     limits = F.array(*[F.lit(thresholds[k]) for k in KINDS])
     d = d.withColumn("__f", F.filter(F.transform("__f", lambda x: F.struct(score(x).alias("score"), x["c"].alias("c"))), lambda x: x["score"] > F.get(limits, x["c"]["kind"])))
-    better = lambda x: F.exists("__f", lambda o: ~apart(o["c"], x["c"]) & ((o["score"] > x["score"]) | ((o["score"] == x["score"]) & (F.struct(o["c"]["start"], o["c"]["end"], o["c"]["kind"]) < F.struct(x["c"]["start"], x["c"]["end"], x["c"]["kind"])))))
-    added = F.transform(F.filter("__f", lambda x: ~better(x)), lambda x: x["c"])
+    added = _chosen(F.col("__f"))
     d = d.withColumn("spans", order(F.concat("base", added)))
     return d.drop("__t", "__num", "__email", "__ip", "__card", "__phone", "__c", "__f", *names)
 

@@ -209,6 +209,14 @@ def test_pii_gates_hold_in_every_match(spark):
         assert hit.count() and hit.filter(~F.col("t").rlike(gate)).count() == 0
 
 
+def test_pii_dropped_spans_drop_no_others(spark):
+    """A over B over C, A apart from C: B goes, C stays."""
+    span = "struct<start:int,end:int,kind:int,m:string>"
+    rows = [([(3.0, (0, 5, 1, "a")), (2.0, (4, 9, 2, "b")), (1.0, (8, 12, 3, "c"))],), ([(1.0, (2, 5, 1, "y")), (1.0, (0, 3, 1, "x"))],), ([],)]
+    df = spark.createDataFrame(rows, f"f array<struct<score:double,c:{span}>>")
+    assert [[s.m for s in r.s] for r in df.select(pii._chosen(F.col("f")).alias("s")).collect()] == [["a", "c"], ["x"], []]
+
+
 def test_pii_features_agree(spark):
     r = random.Random(9)
     some = [pii._example(r)[:3] for _ in range(150)]
