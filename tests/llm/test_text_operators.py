@@ -200,7 +200,7 @@ def test_pii_separator_forms_alone(spark):
 def test_pii_gates_hold_in_every_match(spark):
     """Random texts and made examples: where a generator matches, so does its gate."""
     r = random.Random(4)
-    parts = ["jane", "a1", " at ", "(at)", "[AT]", "{at}", " dot ", "(dot)", "[dot]", ".", "com", "12", "(345)", " ", "-", "/", "_", "1234", "GB29", "NWBK", "AB12ABCD", "f", ":", "ab:c:1:2:3:4:5:6"]
+    parts = ["jane", "a1", " at ", "(at)", "[AT]", "{at}", " dot ", "(dot)", "[dot]", ".", "com", "12", "(345)", " ", "-", "/", "_", "1234", "GB29", "NWBK", "AB12ABCD", "f", ":", "ab:c:1:2:3:4:5:6", "2001:db8::1"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(2, 12))) for _ in range(4000)] + [pii._example(r)[1] for _ in range(400)]
     texts += ["call 12-345", "AB12ABCDEFGHABCD", *SPELLED]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
@@ -209,6 +209,14 @@ def test_pii_gates_hold_in_every_match(spark):
         assert hit.count() and hit.filter(~F.col("t").rlike(gate)).count() == 0
 
 
+def test_pii_short_ipv6(spark):
+    yes = ["2001:db8::1", "2001:db8:85a3::8a2e:370:7334", "fe80::1ff:fe23:4567:890a", "2001:DB8:1::"]
+    no = ["std::vector", "face::add", "10::20", "a[::2]", "1:2:3:4::5:6:7:8", "1::2::3", "::"]
+    df = spark.createDataFrame([(i, f"from {m} on") for i, m in enumerate(yes + no)], "i int, text string")
+    got = {r.i: [(s.kind, s.m) for s in r.spans] for r in pii.find(df).collect()}
+    assert [got[i] for i in range(len(yes + no))] == [[(1, m)] for m in yes] + [[] for _ in no]
+
+
 def test_pii_dropped_spans_drop_no_others(spark):
     """A over B over C, A apart from C: B goes, C stays."""
     span = "struct<start:int,end:int,kind:int,m:string>"
