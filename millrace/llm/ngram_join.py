@@ -1,38 +1,40 @@
 """N-gram Jaccard join by prefix trees.
 
 1. Documents with equal shingle sets are one class.
-2. Filter: two linked sets of sizes n and m have at least t * max(n, m) shingles in common, so among the first n - ceil(t n) + l of
-   each in any global order they share at least l of the smaller one's l. Classes whose prefix (here in order of hashes) holds too
-   few shingles of other classes are out. That is exact, and leaves about the true candidates.
-3. Survivors with too many shingles of their own go too. The rest's shingles are counted and globally ordered, rarest first; those in one survivor only cannot be shared. What is
-   left of the classes is cut into blocks, the components of "a rarest-first prefix shingle in common": linked sets share a block.
-4. In a block the ordered sets are stored in a trie. A set is looked up by one traversal that carries the overlap of the shared
-   path; a subtree is left as soon as the overlap so far plus what can remain of either side misses the bound, and taken whole as
-   soon as the overlap so far is enough for its largest set. Every link is counted, weighted by the rows of the class; what leaves
-   a block are the counts and a spanning forest, never its pairs.
-5. Blocks over BLOCK_TOKENS are dealt into sub-blocks, and each two sub-blocks are compared once. No block is cut off, none is held
-   whole.
-
-Where only the components are asked for, links within one change nothing: subtrees in the component of the set looked up are left,
-and of large blocks, the sub-blocks share a few pivots and only what is not in the largest component is looked up in all of them.
+2. Candidates, exactly: sizes fall into bands, so that linked sets lie in one band or in two that adjoin. In a band, linked sets
+   differ in at most D shingles; the hash space is cut into more than D ranges, so linked sets agree in a whole range at least, and
+   two sets that agree in a range of several shingles are hardly ever strangers. Every set sends one signature a range (about 0.4
+   of its shingles at 85 %), for its own band and the next. Signatures that meet are edges, their components the blocks.
+3. In a block the sets are globally ordered (the most frequent shingle first, so that paths are shared) and stored in a trie. A set
+   is looked up by one traversal that carries the overlap of the shared path; a subtree is left as soon as the overlap so far plus
+   what can remain of either side misses the bound, and taken whole as soon as the overlap is enough for its largest set. What
+   leaves a block are link counts, weighted by the rows of a class, and a spanning forest, never its pairs.
+4. Blocks over BLOCK_TOKENS are dealt into tiles by band and hash. A tile meets the tiles of its band and of the next, each two once;
+   no block is cut off, none is held whole. Counting every link of one block grows with its square, whatever the layout.
+
+Texts are read three times and shuffled once (those of candidates must be found); no table of shingles is written.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, fingerprint, graph
 from .substring import _chunks
 
-BLOCK_TOKENS = 4_000_000
-PIVOTS = 8
-#: Share of a set by which the filter's prefix is longer than the least; a longer one filters more and moves more.
-MORE = 0.10
+#: Shingles that one task's trie holds at most, but for a single longer set.
+BLOCK_TOKENS = 48_000
+#: Signatures gathered in a worker before they are sent, at 10 bytes each.
+SEND = 1_000_000
+#: Candidate edges name a class by so many bits of its digest: equal ones join blocks, which loses nothing.
+NODE = (1 << 40) - 1
+RECORD = 10
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -48,6 +50,88 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
+def digest(tokens: np.ndarray) -> int:
+    """64 bits of a set of hashes."""
+    return int(fingerprint.mix(fingerprint.mix(tokens).sum(dtype=np.uint64)[None] + np.uint64(len(tokens))).view(np.int64)[0])
+
+
+class Bands:
+    """Bands of sizes, by percent: first size, most differences of a linked pair whose larger set is in the band, ranges, and how many
+    of these agree at least."""
+
+    def __init__(self, percent: int):
+        self.percent, low, rows = percent, 1, []
+        while low < 1 << 40:
+            high = low * 100 // percent
+            d = 2 * high * (100 - percent) // (100 + percent)
+            agree = 2 + math.ceil(2 * d * math.exp(-percent * low / 100 / d)) if d else 0  # some ranges of the smallest sets are empty
+            rows.append((low, d + agree, agree))
+            low = high + 1
+        self.low, self.ranges, self.agree = (np.array(x, np.int64) for x in zip(*rows))
+
+    def of(self, sizes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.low, sizes, "right") - 1
+
+
+def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(set, signature): linked sets have one in common. Where a difference is impossible, there are none: such sets link if equal only."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    begin = np.cumsum(n) - n
+    mixed, own = fingerprint.mix(flat), np.repeat(np.arange(len(sets)), n)
+    owners, found = [], []
+    for step in (0, 1):
+        g = bands.of(np.maximum(n, 1)) + step
+        m = np.where(n > 0, bands.ranges[g], 0)
+        at = np.flatnonzero(np.repeat(m > 0, n))
+        if not len(at):
+            continue
+        o = own[at]
+        r = ((flat[at] >> np.uint64(32)) * m[o].astype(np.uint64)) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (r[1:] != r[:-1])]))
+        sums, o, r = np.add.reduceat(mixed[at], first), o[first], r[first]
+        label = fingerprint.mix(r + (g[o].astype(np.uint64) << np.uint64(40)) + np.uint64(1))
+        owners.append(o)
+        found.append(fingerprint.mix(sums + label))
+        empty = m - np.bincount(o, minlength=len(sets))
+        for i in np.flatnonzero((m > 0) & (empty >= bands.agree[g])).tolist():
+            # Linked sets may agree in empty ranges only. Both then are here and share a shingle of these first ones in hash order.
+            some = sets[i][: n[i] - -(-n[i] * bands.percent // 100) + 1]
+            owners.append(np.full(len(some), i))
+            found.append(fingerprint.mix(some ^ np.uint64(g[i] + 3)))
+    if not owners:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(owners), np.concatenate(found)
+
+
+def _pack(nodes: np.ndarray, sigs: np.ndarray) -> np.ndarray:
+    """(len, RECORD) bytes: 40 bits of each."""
+    out = np.empty((len(nodes), RECORD), np.uint8)
+    out[:, :5] = nodes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    out[:, 5:] = sigs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return out
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, RECORD)
+    both = np.zeros((2, len(rows), 8), np.uint8)
+    both[0, :, :5], both[1, :, :5] = rows[:, :5], rows[:, 5:]
+    return both[0].view("<i8")[:, 0], both[1].view("<i8")[:, 0]
+
+
+def _stars(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct edges from each node to the smallest that shares a signature with it."""
+    order = np.lexsort((nodes, sigs))
+    nodes, sigs = nodes[order], sigs[order]
+    new = np.concatenate([[True], sigs[1:] != sigs[:-1]])
+    least = nodes[np.flatnonzero(new)][np.cumsum(new) - 1]
+    u, v = nodes[nodes != least], least[nodes != least]
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])[: len(u)]
+    return u[new], v[new]
+
+
 class Trie:
     """Ordered sets as a compressed trie over their sorted sequence: a node is a range of sets and the part of the path it adds."""
 
@@ -88,71 +172,24 @@ class Trie:
         self.same = [False] * len(self.low)
 
 
-def join_block(sets: list[np.ndarray], sizes: list[int], percent: int, asked: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Spanning forest of the links of sets (global ranks, ascending; sizes count dropped members too). asked: the sets to look up."""
-    order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
-    sets, sizes = [sets[i] for i in order], [sizes[i] for i in order]
-    trie, parent, out = Trie(sets, sizes), list(range(len(sets))), []
-    ranks = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-    sets = [np.searchsorted(ranks, s) for s in sets]
-    mask = np.zeros(len(ranks), bool)
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def uniform(node: int, root: int) -> bool:
-        low, high = trie.low[node], trie.high[node]
-        if not trie.same[node]:
-            first = find(low)
-            trie.same[node] = all(find(i) == first for i in range(low + 1, high))
-        return trie.same[node] and find(low) == root
-
-    def need(a: int, b: int) -> int:
-        return -(-percent * (a + b) // (100 + percent))
-
-    for q in range(len(sets)):
-        if asked is not None and not asked[order[q]]:
-            continue
-        own, n = sets[q], sizes[q]
-        mask[own] = True
-        stack = [(0, 0)]
-        while stack:
-            node, overlap = stack.pop()
-            low, high = trie.low[node], trie.high[node]
-            if asked is None and high <= q + 1:
-                continue  # looked up from the other side
-            least, most = trie.least[node], trie.most[node]
-            if 100 * most < percent * n or 100 * n < percent * least or uniform(node, find(q)):
-                continue
-            start, end = trie.start[node], trie.end[node]
-            if end > start:
-                path = sets[low][start:end]
-                overlap += int(np.count_nonzero(mask[path]))
-                left = len(own) - int(np.searchsorted(own, path[-1], "right"))
-            else:
-                left = len(own)
-            rest = min(left, trie.deepest[node] - end)
-            if overlap + rest < need(n, max(least, -(-percent * n // 100))):
-                continue
-            # sets that end at this node come first in its range
-            i = low
-            while i < high and len(sets[i]) == end:
-                if i != q and overlap >= need(n, sizes[i]) and find(i) != find(q):
-                    out.append((order[q], order[i]))
-                    parent[find(i)] = find(q)
-                i += 1
-            stack.extend((k, overlap) for k in reversed(trie.kids[node]))
-        mask[own] = False
+def ordered(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Sets of hashes as ascending ranks in their global order: frequent ones first, then by hash. Hashes of one set only are left out."""
+    flat = np.concatenate(sets)
+    tokens, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(tokens))
+    flat, shared, out, a = rank[at], counts[at] > 1, [], 0
+    for s in sets:
+        b = a + len(s)
+        out.append(np.sort(flat[a:b][shared[a:b]]))
+        a = b
     return out
 
 
 def count_block(sets: list[np.ndarray], sizes: list[int], weights: list[int], percent: int, first: list[bool] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Spanning forest of the links of sets (as for join_block), and for each set the weights of all it links with. first: only links
-    between these sets and the others."""
-    held = sorted((i for i in range(len(sets)) if first is None or not first[i]), key=lambda i: sets[i].tolist())
+    """Spanning forest of the links of sets (global ranks, ascending; sizes count dropped members too), and for each set the weights of
+    all it links with. first: only links between these sets and the others."""
+    held = sorted((i for i in range(len(sets)) if first is None or not first[i]), key=lambda i: sets[i].astype(">i8").tobytes())
     looked = held if first is None else [i for i in range(len(sets)) if first[i]]
     parent, out, counts = list(range(len(sets))), [], np.zeros(len(sets), np.int64)
     if not held or not looked:
@@ -217,179 +254,158 @@ def count_block(sets: list[np.ndarray], sizes: list[int], weights: list[int], pe
     return out, counts
 
 
-def _least(n: Column, percent: int) -> Column:
-    """ceil(percent / 100 * n), in whole numbers."""
-    return F.floor((n * percent + 99) / 100)
-
-
-def _lone(post: DataFrame) -> DataFrame:
-    """post (cid, token, each pair once) -> (cid, lone): how many tokens of a class no other class has. The only class of such a token is
-    also its smallest, so one aggregation tells whose it is, and no token's classes are ever brought together."""
-    once = post.groupBy("token").agg(F.count("*").alias("c"), F.min("cid").alias("cid")).filter("c = 1")
-    return once.groupBy("cid").agg(F.count("*").alias("lone"))
-
-
-def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, count: bool = True) -> DataFrame:
+def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, n_shingles, n_links, component_id, group_id, key), one row per row of docs; sets with a Jaccard similarity of percent / 100 or more link.
 
-    n_links is the number of other rows that a row links with; without count, it is left out. Null texts and texts without words have empty sets and link with nothing. A component's id is its smallest known doc_id. Rows
-    with equal texts or ids are linked as rows; null ids are never smallest. An empty table gives an empty result. Other columns
-    are ignored. group_id (null for empty sets) numbers the components; key is a hash of the row's text. Shingles are compared by
-    64-bit hashes.
+    n_links is the number of other rows that a row links with. Null texts and texts without words have empty sets and link with
+    nothing. Texts of any length are taken whole; a worker holds one at a time beyond a few MB. A component's id is its smallest
+    known doc_id. Rows with equal texts or ids are linked as rows; null ids are never smallest. An empty table gives an empty
+    result. Other columns are ignored, whatever their names. group_id (null for empty sets) numbers the components; key is a hash of
+    the row's text. Shingles, and whole sets, are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     common.arrow_batches(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bands = Bands(percent)
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # 1. Classes.
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            for first, texts in _chunks(b.column(1).to_pylist()):
+            n, d = [], []
+            for _, texts in _chunks(b.column(1).to_pylist()):
                 sets = shingle_sets(texts, k)
-                n = np.fromiter(map(len, sets), np.int64, len(sets))
-                size = np.minimum(n, n - (percent * n + 99) // 100 + 1 + (n * MORE).astype(np.int64))
-                size[n == 0] = 0
-                d1 = [int(fingerprint.mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                d2 = [int(fingerprint.mix(s ^ np.uint64(fingerprint.BASE)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                flat = np.concatenate([s[:m] for s, m in zip(sets, size.tolist())]) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), b.column(2).slice(first, len(texts)), pa.array(n), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], names=["doc_id", "key", "n", "d1", "d2", "prefix"])
-
-    keyed = d.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    every = common.cut(keyed.mapInArrow(prefixes, "doc_id long, key long, n long, d1 long, d2 long, prefix array<long>"), "prefixes")
-    rows = common.cut(every.drop("prefix"), "rows")
-    classes = every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("r"), F.first("prefix").alias("prefix"), F.count("*").alias("weight"))
-    classes = classes.select("n", "d1", "d2", "weight", "prefix", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("rep_key"), F.monotonically_increasing_id().alias("cid"))
+                n += [len(s) for s in sets]
+                d += [digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["doc_id", "key", "n", "cid"])
+
+    rows = common.cut(keyed.mapInArrow(digests, "doc_id long, key long, n long, cid long"), "rows")
+    classes = rows.filter("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("r"), F.count("*").alias("weight"))
+    classes = classes.select("cid", "n", "weight", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("rep_key"), F.col("cid").bitwiseAND(F.lit(NODE)).alias("node"))
     classes = common.cut(classes, "classes")
 
-    # 2. Classes whose prefixes share enough.
-    enough = F.floor(_least(F.col("n"), percent) * MORE) + 1
-    alone = _lone(classes.select("cid", F.explode("prefix").alias("token")))
-    alive = classes.select("cid", "n", "d1", "rep", "rep_key", F.size("prefix").alias("size")).join(alone, "cid", "left")
-    alive = common.cut(alive.filter(F.col("size") - F.coalesce("lone", F.lit(0)) >= enough).drop("size", "lone"), "alive")
-    kept = common.cut(classes.drop("prefix"), "kept")
-    common.discard(every, classes)
-    classes = kept
+    # 2. Candidates.
+    buckets = 4 * common.parts(spark)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, set()
+
+        def send():
+            records, to = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            order = np.argsort(to, kind="stable")
+            records, ends = records[order], np.cumsum(np.bincount(to, minlength=buckets)).tolist()
+            found = [(i, records[a:b].tobytes()) for i, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([r for _, r in found], pa.binary())], names=["bucket", "records"])
+
+        for b in batches:
+            for _, texts in _chunks(b.column(0).to_pylist()):
+                sets = [s for s in shingle_sets(texts, k) if len(s)]
+                ids = [digest(s) for s in sets]
+                fresh = [i for i, d in enumerate(ids) if d not in seen and not seen.add(d)]  # copies within what is sent together
+                ids, sets = np.array([ids[i] for i in fresh], np.int64), [sets[i] for i in fresh]
+                o, s = signatures(sets, bands)
+                held.append((_pack(ids[o] & NODE, s >> np.uint64(24)), ((s & np.uint64(0xFFFFFF)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)))
+                size += len(s)
+                if size >= SEND:
+                    yield send()
+                    held, size, seen = [], 0, set()
+        if size:
+            yield send()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket = [], None
+
+        def solve():
+            u, v = _stars(*_unpack(b"".join(held)))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for b in batches:
+            for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if i != bucket:
+                    if held:
+                        yield solve()
+                    held, bucket = [], i
+                held.append(r)
+        if held:
+            yield solve()
 
+    dealt = keyed.select("text").mapInArrow(sent, "bucket int, records binary").repartition("bucket").sortWithinPartitions("bucket")
+    edges = common.cut(dealt.mapInArrow(meet, "u long, v long").distinct(), "candidates")
+    blocks = graph.components(edges)
+    blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct()).toDF("node", "block")
+    low = F.array(*[F.lit(int(x)) for x in bands.low])
+    band = F.aggregate(low, F.lit(-1), lambda a, x: a + (x <= F.col("n")).cast("int"))
+    alive = common.cut(classes.join(blocks, "node").select("block", "cid", "n", "weight", "rep", "rep_key", band.alias("band")), "alive")
+    common.discard(edges)
+
+    # 4. Units of a block: (0, 0) if it is small, or else two tiles. A tile is (band, part); its number is band << 32 | part.
+    size = alive.groupBy("block").agg(F.sum("n").alias("total"))
+    per_band = alive.groupBy("block", "band").agg(F.ceil(2 * F.sum("n") / block_tokens).cast("int").alias("tiles"))
+    size = size.join(per_band.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("band", "tiles"))).alias("tiles")), "block")  # one entry a band, about 100 at most
+    placed = alive.join(size, "block")
+    name = lambda g, i: F.shiftleft(g.cast("long"), 32) + i
+    every = lambda g: F.transform(F.sequence(F.lit(1), F.coalesce(F.col("tiles")[g], F.lit(0))), lambda i: name(g, i))
+    tile = F.when(F.col("total") > block_tokens, name(F.col("band"), F.pmod(F.xxhash64("cid"), F.col("tiles")[F.col("band")]).cast("int") + 1)).otherwise(F.lit(0).cast("long"))
+    around = F.flatten(F.array(*[F.when(F.col("tiles")[F.col("band") + d].isNotNull(), every(F.col("band") + d)).otherwise(F.array().cast("array<bigint>")) for d in (-1, 0, 1)]))
+    others = F.when(F.col("total") > block_tokens, around).otherwise(F.array(F.lit(0).cast("long")))
+    placed = placed.select("block", "cid", "n", "weight", "rep", "rep_key", tile.alias("tile"), others.alias("others"))
+
+    # 3. Links.
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, texts in _chunks(b.column(0).to_pylist()):
+            rest, cid = [i for i, x in enumerate(b.schema.names) if x != "text"], b.column(b.schema.names.index("cid")).to_pylist()
+            for at, texts in _chunks(b.column(b.schema.names.index("text")).to_pylist()):
                 sets = shingle_sets(texts, k)
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                rest = [c.slice(first, len(texts)) for c in b.columns[1:]]
-                d1 = pa.array([int(fingerprint.mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*rest, d1, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["cid", "n", "d1", "own", "tokens"])
-
-    reps = keyed.join(alive, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cid", "n", "d1")
-    sets = reps.mapInArrow(full, "cid long, n long, d1 long, own long, tokens array<long>").filter("own = d1").select("cid", "n", "tokens")
-    sets = common.cut(sets.dropDuplicates(["cid"]), "sets")
-
-    # 3. Global order by frequency, and blocks.
-    alone = _lone(sets.select("cid", F.explode("tokens").alias("token")))
-    rest = sets.select("cid", "n").join(alone, "cid", "left").filter(F.col("n") - F.coalesce("lone", F.lit(0)) >= _least(F.col("n"), percent))
-    old, sets = sets, common.cut(sets.join(rest.select("cid"), "cid"), "sets")
-    common.discard(old)
-    tokens = sets.select("cid", "n", F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    ordered = tokens.join(counts, "token").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
-    ordered = common.cut(ordered.filter(F.size("s") >= _least(F.col("n"), percent)), "ordered")
-    common.discard(sets)
-    prefix = F.slice("s", F.lit(1), (F.size("s") - _least(F.col("n"), percent) + 1).cast("int"))
-    head = ordered.select("cid", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"))
-    edges = head.join(head.groupBy("token").agg(F.min("cid").alias("least")), "token").select(F.col("cid").alias("u"), F.col("least").alias("v"))
-    blocks = graph.components(edges)
-    blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct()).toDF("cid", "block")
-    sizes = ordered.select("cid", F.size("s").alias("len")).join(blocks, "cid").groupBy("block").agg(F.sum("len").alias("len"))
-    blocks = blocks.join(sizes.select("block", F.ceil(F.col("len") / block_tokens).cast("int").alias("subs")), "block")
-    data = ordered.join(blocks, "cid").join(classes.select("cid", "weight"), "cid").select("block", "subs", "cid", "n", "weight", F.transform("s", lambda x: x["df"]).alias("df"), F.transform("s", lambda x: x["token"]).alias("tok"))
-    data = common.cut(data, "blocks")
-    common.discard(ordered)
-
-    # 4. and 5. Links.
+                ok = [i for i, s in enumerate(sets) if digest(s) == cid[at + i]]
+                cols = [b.column(i).slice(at, len(texts)).take(pa.array(ok, pa.int64())) for i in rest]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([sets[i].tobytes() for i in ok], pa.binary())], names=[*[b.schema.names[i] for i in rest], "tokens"])
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        held, key = {}, None
 
         def solve():
-            df, tok = (np.concatenate([h[i] for h in held]) for i in (4, 5))
-            order = np.lexsort((tok, df))
-            new = np.concatenate([[True], tok[order][1:] != tok[order][:-1]])
-            rank = np.empty(len(tok), np.int64)
-            rank[order] = np.cumsum(new)
-            ends = np.cumsum([len(h[5]) for h in held]).tolist()
-            sets, sizes, asked, n = [rank[a:b] for a, b in zip([0, *ends], ends)], [h[1] for h in held], [h[2] for h in held], []
-            if count:
-                found, n = count_block(sets, sizes, [h[3] for h in held], percent, None if key[1] == key[2] else asked)
-            else:
-                found = join_block(sets, sizes, percent, None if all(asked) else asked)
-            n = [(held[i][0], x) for i, x in enumerate(n) if x]
-            u, v = [held[a][0] for a, _ in found] + [c for c, _ in n], [held[b][0] for _, b in found] + [None] * len(n)
+            units = list(held.items())
+            sets = ordered([np.frombuffer(x[3], np.uint64) for _, x in units])
+            apart = None if key[1] == key[2] else [x[2] == key[1] for _, x in units]
+            found, n = count_block(sets, [x[0] for _, x in units], [x[1] for _, x in units], percent, apart)
+            n = [(units[i][0], int(x)) for i, x in enumerate(n) if x]
+            u, v = [units[a][0] for a, _ in found] + [c for c, _ in n], [units[b][0] for _, b in found] + [None] * len(n)
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([None] * len(found) + [x for _, x in n], pa.int64())], names=["u", "v", "n_links"])
 
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns[:7]]
-            for i, row in enumerate(zip(*cols)):
-                if row[:3] != key:
+            for block, a, z, cid, n, weight, tile, tokens in zip(*[c.to_pylist() for c in b.columns]):
+                if (block, a, z) != key:
                     if len(held) > 1:
                         yield solve()
-                    held, key = [], row[:3]
-                held.append((row[3], row[4], row[5], row[6], b.column(7)[i].values.to_numpy(), b.column(8)[i].values.to_numpy()))
+                    held, key = {}, (block, a, z)
+                held[cid] = (n, weight, tile, tokens)
         if len(held) > 1:
             yield solve()
 
-    def links(df: DataFrame) -> DataFrame:
-        dealt = df.select("block", "sub", "part", "cid", "n", "asked", "weight", "df", "tok").repartition("block", "sub", "part").sortWithinPartitions("block", "sub", "part", "cid")
-        return dealt.mapInArrow(local, "u long, v long, n_links long")
-
-    zero, yes = F.lit(0), F.lit(True)
-    if count:
-        # Each two tiles meet under (smaller, larger), a tile with itself once; two tiles hold one sub-block's tokens.
-        tiles = F.when(F.col("subs") > 1, F.col("subs") * 2).otherwise(1)
-        placed = data.withColumn("tile", F.pmod(F.xxhash64("cid"), tiles).cast("int")).select("*", F.explode(F.sequence(zero, tiles - 1)).alias("other"))
-        found = links(placed.withColumns({"sub": F.least("tile", "other"), "part": F.greatest("tile", "other"), "asked": F.col("tile") <= F.col("other")}))
-    else:
-        found = links(data.filter("subs = 1").withColumns({"sub": zero, "part": zero, "asked": yes}))
-        large = data.filter("subs > 1")
-        if not large.isEmpty():
-            dealt = large.withColumns({"sub": F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int"), "part": zero, "asked": yes})
-            pivots = large.groupBy("block").agg(*[F.min(F.struct(F.xxhash64("cid", F.lit(i)), F.col("cid"))).alias(f"p{i}") for i in range(PIVOTS)])
-            pivots = pivots.select(F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.cid") for i in range(PIVOTS)]))).alias("cid"))
-            copies = large.join(pivots, "cid").select("*", F.explode(F.sequence(zero, F.col("subs") - 1)).alias("sub")).withColumns({"part": zero, "asked": yes})
-            once = F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int") != F.col("sub")
-            first = common.cut(links(dealt.unionByName(copies.filter(once))), "links")
-            roots = graph.components(first).toDF("cid", "root")
-            placed = large.select("block", "cid", "subs", F.size("tok").alias("len")).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-            most = placed.groupBy("block", "root").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("root", "c").alias("giant"))
-            rest = placed.join(most, "block").filter("root <> giant")
-            total = rest.groupBy("block").agg(F.ceil(F.sum("len") / block_tokens).cast("int").alias("parts"))
-            rest = common.cut(rest.select("cid"), "rest")
-            total = common.cut(total, "parts")
-            everyone = large.join(total, "block").withColumns({"sub": F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int"), "asked": F.lit(False)}).select("*", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"))
-            some = large.join(rest, "cid").join(total, "block").withColumns({"part": F.pmod(F.xxhash64("cid", F.lit("part")), F.col("parts")).cast("int"), "asked": yes}).select("*", F.explode(F.sequence(zero, F.col("subs") - 1)).alias("sub"))
-            found = found.unionByName(first).unionByName(links(everyone.unionByName(some)))
-    found = common.cut(found, "links")
-    roots = graph.components(found).toDF("cid", "root")
-    known = classes.select("n", "d1", "d2", "weight", "cid", "rep").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    same = (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    texts = keyed.join(placed, same).select("block", "cid", "n", "weight", "tile", "others", "text")
+    sets = texts.mapInArrow(full, "block long, cid long, n long, weight long, tile long, others array<long>, tokens binary")
+    units = sets.withColumn("other", F.explode("others")).select("block", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("z"), "cid", "n", "weight", "tile", "tokens")
+    units = units.repartition("block", "a", "z").sortWithinPartitions("block", "a", "z")
+    found = common.cut(units.mapInArrow(local, "u long, v long, n_links long"), "links")
+    roots = graph.components(found.filter("v is not null").select("u", "v")).toDF("cid", "root")
+    known = classes.select("cid", "weight", "rep").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = known.join(least, "root")
-    if count:
-        known = known.join(found.filter("n_links > 0").groupBy("u").agg(F.sum("n_links").alias("others")), F.col("cid") == F.col("u"), "left")
-        known = known.withColumn("n_links", F.col("weight") - 1 + F.coalesce("others", F.lit(0)))
-    n_links = ["n_links"] if count else []
-    out = rows.join(known.select("n", "d1", "d2", "root", "component_id", *n_links), ["n", "d1", "d2"], "left")
-    n_links = [F.coalesce(c, F.lit(0)).alias(c) for c in n_links]
-    return out.select("doc_id", F.col("n").alias("n_shingles"), *n_links, F.coalesce("component_id", "doc_id").alias("component_id"), F.col("root").alias("group_id"), "key")
+    others = found.filter("v is null").groupBy(F.col("u").alias("cid")).agg(F.sum("n_links").alias("others"))
+    known = known.join(least, "root").join(others, "cid", "left")
+    known = known.select("cid", "root", "component_id", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = rows.withColumn("cid", F.when(F.col("n") > 0, F.col("cid"))).join(known, "cid", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("root").alias("group_id"), "key")
 
 
 def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of similar(): that of the smallest id (null last), of equal ids that of the smallest text hash.
 
-    Rows without words are groups of their own and stay. Of rows equal in id and text, one stays (any, if other columns differ).
+    Rows without words are groups of their own and stay, as do null texts; an empty table stays empty. Texts of any length are taken
+    whole. Of rows equal in id and text, one stays (any, if other columns differ). Columns may have any names.
     """
-    found = similar(docs, k=k, percent=percent, id_col=id_col, text_col=text_col, count=False)
+    found = similar(docs, k=k, percent=percent, id_col=id_col, text_col=text_col)
     best = found.filter("group_id is not null").groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("b"))
-    best = common.cut(best.select(F.col("b.doc_id").alias("__id"), F.col("b.key").alias("__key")).distinct(), "best")
-    keyed = docs.withColumn("__row", F.xxhash64(text_col))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key"))
-    bare = F.coalesce(~F.col(text_col).rlike(common.WORD), F.lit(True))
-    stay = keyed.filter(~bare).join(best, same).dropDuplicates(["__id", "__key"]).select(*docs.columns)
-    return stay.unionByName(keyed.filter(bare).select(*docs.columns))
+    best = common.cut(best.select(F.col("b.doc_id").alias("id"), F.col("b.key").alias("best")).distinct(), "best")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(~F.col(text_col).rlike(common.WORD), F.lit(True)).alias("bare"))
+    stay = keyed.filter("not bare").join(best, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("best"))).dropDuplicates(["id", "best"]).select("row.*")
+    return stay.unionByName(keyed.filter("bare").select("row.*"))

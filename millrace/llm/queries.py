@@ -126,7 +126,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.similar(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 OP2_SQL = r"""
@@ -146,8 +146,8 @@ WITH RECURSIVE d AS (
   SELECT doc_id AS a, doc_id AS c FROM documents
   UNION SELECT r.a, p.b FROM r JOIN p ON r.c = p.a
 )
-SELECT r.a AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id
-FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+SELECT r.a AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id, CAST(coalesce(any_value(l.l), 0) AS BIGINT) AS n_links
+FROM r LEFT JOIN n ON n.doc_id = r.a LEFT JOIN (SELECT a, count(*) AS l FROM p GROUP BY a) l ON l.a = r.a GROUP BY r.a
 """
 
 

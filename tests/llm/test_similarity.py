@@ -101,18 +101,21 @@ def test_one_of_each(spark):
     assert got[0].__fields__ == df.columns
 
 
-def test_join_block_is_brute_force():
-    r = random.Random(5)
-    for _ in range(60):
-        sets = []
-        for _ in range(r.randint(1, 14)):
-            base = r.choice(sets).tolist() if sets and r.random() < 0.6 else r.sample(range(60), r.randint(3, 25))
-            sets.append(np.array(sorted(set(base) ^ set(r.sample(range(60), r.randint(0, 2)))) or [1]))
-        sizes = [len(s) + r.randint(0, 1) for s in sets]
-        asked = [r.random() < 0.5 for _ in sets] if r.random() < 0.5 else None
-        links = [(a, b) for a in range(len(sets)) for b in range(len(sets)) if a != b and (asked is None or asked[a]) and 100 * (k := len(np.intersect1d(sets[a], sets[b]))) >= 70 * (sizes[a] + sizes[b] - k)]
-        ids = list(range(len(sets)))
-        assert components(ids, ngram_join.join_block(sets, sizes, 70, asked)) == components(ids, links)
+def test_linked_sets_share_a_signature():
+    """Whatever the sizes: also where linked sets agree in empty ranges only."""
+    r = np.random.default_rng(5)
+    for percent in (85, 80, 60):
+        bands, linked = ngram_join.Bands(percent), 0
+        for _ in range(1500):
+            n = int(r.integers(1, 12)) if r.random() < 0.5 else int(r.integers(12, 400))
+            a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[r.random(len(a)) > r.random() * 0.15], r.integers(0, 2**64, int(r.integers(0, 2 + n // 12)), dtype=np.uint64)]))
+            k = len(np.intersect1d(a, b))
+            if len(b) and len(a) != k and 100 * k >= percent * (len(a) + len(b) - k):
+                linked += 1
+                o, s = ngram_join.signatures([a, b], bands)
+                assert np.intersect1d(s[o == 0], s[o == 1]).size
+        assert linked > 200
 
 
 def test_count_block_is_brute_force():
