@@ -2,7 +2,8 @@
 
 Each direction has H units: z = hard_sigmoid(Wz[x] + Uz h), n = hard_tanh(Wn[x] + Un h), h += z * (n - h). Both states at a position
 give a distribution over languages there; a document's is the mean over all its positions. The network is trained in numpy by
-backpropagation through time on a bounded sample of labelled documents and applied to whole texts, CHUNK bytes of a text as one lane.
+backpropagation through time on a bounded sample of labelled documents and applied to whole texts: states run from end to end of a
+text, whatever its length (see predict).
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 UNITS, CHUNK, LANES = 8, 128, 8192
 PAD = 256
+#: Bytes from which a lane's first state is guessed, and how far off a guess may be.
+WARM, EXACT = 48, 1e-4
 #: The classifier is fitted on at most about so many documents, shared equally by the languages, PIECES pieces of each.
 TRAIN_DOCS, PIECES = 3000, 6
 TRAIN_LENGTH, TRAIN_LANES, STEPS, SPEED = 64, 512, 360, 0.02
@@ -117,53 +121,95 @@ def train(pieces: list[tuple[bytes, str]], seed: int = 7) -> Network:
 
 
 def predict(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Mean distribution over the positions of each text: (texts, languages). Empty texts get zeros."""
+    """Mean distribution over the positions of each text: (texts, languages). Empty texts get zeros.
+
+    The recurrence runs over the whole text, but CHUNK bytes of a text are a lane, and all lanes run side by side: a lane starts from
+    a guess of the state that its neighbour hands over (what WARM bytes give), and lanes whose guess proves to be off by more than EXACT
+    run again from the state handed over, until none is. At worst, that is one lane after the other; gates forget, so it is few."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     lanes = -(-sizes // CHUNK)
     owner = np.repeat(np.arange(len(texts)), lanes)
     total = np.zeros((len(texts), len(net.langs)))
+    if not len(owner):
+        return total
     flat = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.repeat(np.cumsum(sizes) - sizes, lanes) + (np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * CHUNK
-    end = np.repeat(np.cumsum(sizes), lanes)
-    for k in range(0, len(owner), LANES):
-        sums = _lanes(net, flat, begin[k : k + LANES], end[k : k + LANES])
-        for j in range(len(net.langs)):
-            total[:, j] += np.bincount(owner[k : k + LANES], sums[j], len(texts))
+    end = np.minimum(begin + CHUNK, np.repeat(np.cumsum(sizes), lanes))
+    joined = np.flatnonzero(owner[1:] == owner[:-1])  # lanes that another lane of the text follows
+    zero = np.zeros((UNITS, len(owner)), "f4")
+    before, after, sums = zero.copy(), zero.copy(), np.zeros((len(net.langs), len(owner)), "f4")
+    for k in range(0, len(joined), LANES):
+        at = joined[k : k + LANES]
+        before[:, at + 1] = _run(net, 0, _bytes(flat, end[at] - WARM, end[at]), zero[:, at])
+        after[:, at] = _run(net, 1, _bytes(flat, begin[at + 1], np.minimum(begin[at + 1] + WARM, end[at + 1])), zero[:, at])
+    redo = np.arange(len(owner))
+    while len(redo):
+        left, right = np.empty((UNITS, len(redo)), "f4"), np.empty((UNITS, len(redo)), "f4")
+        for k in range(0, len(redo), LANES):
+            at = redo[k : k + LANES]
+            sums[:, at], left[:, k : k + LANES], right[:, k : k + LANES] = _lanes(net, _bytes(flat, begin[at], end[at]), before[:, at], after[:, at])
+        wrong = np.zeros(len(owner), bool)
+        for states, handed, to in ((before, right, 1), (after, left, -1)):
+            ok = (redo + to >= 0) & (redo + to < len(owner))
+            ok[ok] = owner[redo[ok] + to] == owner[redo[ok]]
+            target, state = redo[ok] + to, handed[:, ok]
+            off = np.abs(states[:, target] - state).max(0) > EXACT
+            states[:, target[off]] = state[:, off]
+            wrong[target[off]] = True
+        redo = np.flatnonzero(wrong)
+    for j in range(len(net.langs)):
+        total[:, j] = np.bincount(owner, sums[j], len(texts))
     return total / np.maximum(sizes, 1)[:, None]
 
 
-def _lanes(net: Network, flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Sum of the distributions over the positions of each lane: (languages, lanes)."""
-    b, h = len(begin), UNITS
-    length = np.minimum(end - begin, CHUNK)
-    steps = int(length.max())
+def _bytes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(steps, lanes): bytes begin .. end of each lane, PAD behind them."""
+    steps = int((end - begin).max())
     at = begin[None, :] + np.arange(steps)[:, None]
-    x = np.where(np.arange(steps)[:, None] < length[None, :], flat[np.minimum(at, len(flat) - 1)].astype(np.int32), PAD)
-    table = net.table.copy()
-    table[:, :h] += 0.5
-    table[:, :h, PAD] = -1e9  # padding leaves the state as it is
-    forward = np.empty((steps, h, b), "f4")
-    g, xi = np.empty((2 * h, b), "f4"), np.empty((2 * h, b), "f4")
-    z, n = g[:h], g[h:]
-    sums = np.zeros((len(net.langs), b), "f4")
+    return np.where(at < end[None, :], flat[np.minimum(at, len(flat) - 1)].astype(np.int32), PAD)
+
 
-    def move(d: int, t: int, s: np.ndarray) -> None:
-        np.take(table[d], x[t], axis=1, out=xi, mode="clip")
-        np.matmul(net.turn[d], s, out=g)
-        np.add(g, xi, out=g)
+class _Step:
+    """One step of a direction, in place, for many lanes."""
+
+    def __init__(self, net: Network, lanes: int):
+        self.net, self.table = net, net.table.copy()
+        self.table[:, :UNITS] += 0.5
+        self.table[:, :UNITS, PAD] = -1e9  # padding leaves the state as it is
+        self.g, self.xi = np.empty((2 * UNITS, lanes), "f4"), np.empty((2 * UNITS, lanes), "f4")
+
+    def __call__(self, d: int, x: np.ndarray, s: np.ndarray) -> None:
+        g, z, n = self.g, self.g[:UNITS], self.g[UNITS:]
+        np.take(self.table[d], x, axis=1, out=self.xi, mode="clip")
+        np.matmul(self.net.turn[d], s, out=g)
+        np.add(g, self.xi, out=g)
         np.clip(z, 0, 1, out=z)
         np.clip(n, -1, 1, out=n)
         np.subtract(n, s, out=n)
         np.multiply(n, z, out=n)
         np.add(s, n, out=s)
 
-    s = np.zeros((h, b), "f4")
+
+def _run(net: Network, d: int, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The state of direction d after the bytes x."""
+    step, s = _Step(net, x.shape[1]), state.copy()
+    for row in x if d == 0 else x[::-1]:
+        step(d, row, s)
+    return s
+
+
+def _lanes(net: Network, x: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum of the distributions over the positions of each lane, (languages, lanes), and the states handed to the left and to the right."""
+    steps, b = x.shape
+    step = _Step(net, b)
+    forward, s = np.empty((steps, UNITS, b), "f4"), before.copy()
     for t in range(steps):
-        move(0, t, s)
+        step(0, x[t], s)
         forward[t] = s
-    s = np.zeros((h, b), "f4")
+    right, s = s, after.copy()
+    sums = np.zeros((len(net.langs), b), "f4")
     for t in reversed(range(steps)):
-        move(1, t, s)
+        step(1, x[t], s)
         p = net.out[0] @ forward[t]
         p += net.out[1] @ s
         p += net.bias
@@ -171,7 +217,7 @@ def _lanes(net: Network, flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -
         np.exp(p, out=p)
         p *= (x[t] != PAD) / p.sum(0)
         sums += p
-    return sums
+    return sums, s, right
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -179,23 +225,28 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """A network learned from text and lang of docs, of about TRAIN_DOCS documents chosen by a hash of their ids, as many of each
-    language; PIECES pieces of each text, at places given by hashes. None if there is nothing to learn from."""
-    text = F.col(text_col)
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & text.rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in docs.filter(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
+    """A network learned from text and lang of docs: at most about TRAIN_DOCS distinct documents, as many of each language, chosen by a
+    hash of id and text; PIECES pieces of each, at places given by hashes. None if there is nothing to learn from.
+
+    Null ids, texts and languages and texts without a letter are not learned from; rows equal in id, text and lang count once. A
+    language is a class: there should be far fewer of them than TRAIN_DOCS. Other columns are ignored, whatever their names.
+    """
+    d = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    d = d.filter("id is not null and text is not null and lang is not null")
+    place = F.xxhash64("id", "text", F.lit("train"))
+    counts = {r[0]: r[1] for r in d.groupBy("lang").agg(F.approx_count_distinct(place, 0.02)).collect()}  # one row a class
     if not counts:
         return None
     share = TRAIN_DOCS / len(counts)
     chance = F.lit(0.0)
     for lang, n in counts.items():
-        chance = F.when(F.col(lang_col) == lang, min(1.0, share / n)).otherwise(chance)
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1 << 20)) / float(1 << 20)
+        chance = F.when(F.col("lang") == lang, min(1.0, share / max(n, 1))).otherwise(chance)
+    u = F.shiftrightunsigned(place, 11) / float(1 << 53)
     size = 2 * TRAIN_LENGTH
-    places = [F.substring(text, (F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(F.char_length(text) - size, F.lit(1))) + 1).cast("int"), F.lit(size)) for k in range(PIECES)]
-    rows = known.filter(u < chance).select(F.col(lang_col), F.array(*places), F.col(id_col)).collect()
+    places = [F.substring("text", (F.pmod(F.xxhash64("id", F.lit(k)), F.greatest(F.char_length("text") - size, F.lit(1))) + 1).cast("int"), F.lit(size)) for k in range(PIECES)]
+    some = d.filter(F.col("text").rlike(r"\p{L}") & (u < chance)).groupBy("lang", place.alias("place")).agg(F.first(F.array(*places)).alias("parts"))
     pieces = []
-    for lang, parts, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+    for lang, _, parts in sorted(some.orderBy("place").limit(2 * TRAIN_DOCS).collect(), key=lambda r: (r[1], r[0])):
         for p in parts:
             raw = p.encode("utf-8")
             pieces.append((raw * -(-TRAIN_LENGTH // len(raw)) if len(raw) < TRAIN_LENGTH else raw, lang))
@@ -205,26 +256,26 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 def identify(docs: DataFrame, net: Network | None, *, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (the mean probability of that language over the positions of the text) added.
 
-    Null texts and texts without a letter, and all texts if net is None, get `und` and 0. Whole texts are read, of any length. Columns
-    of docs named like an added one are replaced; rows stand for themselves.
+    Null texts and texts without a letter, and all texts if net is None, get `und` and 0. Whole texts are read, of any length, and the
+    states run through them. An empty table stays empty. Columns of docs named like an added one are replaced, others may have any
+    names; rows stand for themselves.
     """
-    common.arrow_batches(docs.sparkSession, rows=1000, mb=4)
-    d = docs.withColumn("__plain", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    (plain,) = common.fresh(docs.columns, "plain")
+    d = docs.withColumn(plain, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    schema = common.added(docs.schema, ("lang_pred", T.StringType()), ("score", T.DoubleType()))
+    kept = [f.name for f in schema][:-2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = b.schema.names
-            plain = b.column(names.index("__plain")).to_pylist()
-            texts = [t.encode("utf-8") if ok and net else b"" for t, ok in zip(b.column(names.index(text_col)).to_pylist(), plain)]
-            if net:
-                p = predict(net, texts)
-                best = p.argmax(1)
-                lang = [net.langs[k] if t else UNKNOWN for k, t in zip(best.tolist(), texts)]
-                score = np.clip(p[np.arange(len(texts)), best], 0, 1)
-            else:
+        for whole in batches:
+            for b in common.slices(whole, text_col):
+                at = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+                texts = [t.encode("utf-8") if ok and net else b"" for t, ok in zip(at[text_col].to_pylist(), at[plain].to_pylist())]
                 lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            kept = [n for n in names if n not in ("__plain", "lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays([*[b.column(names.index(n)) for n in kept], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("lang_pred", "score"))
-    return d.mapInArrow(run, f"{kept}, lang_pred string, score double")
+                if net:
+                    p = predict(net, texts)
+                    best = p.argmax(1)
+                    lang = [net.langs[k] if t else UNKNOWN for k, t in zip(best.tolist(), texts)]
+                    score = np.clip(p[np.arange(len(texts)), best], 0, 1)
+                yield pa.RecordBatch.from_arrays([*[at[n] for n in kept], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[f.name for f in schema])
+
+    return common.mapped(d, run, schema)
