@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words and white space of every contract: ASCII blanks only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,17 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or its checkpoint folder. A session with neither gets
+    a temporary one if all of it runs in this process (tests); on a cluster that raises, as no executor would see such a folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        else:
-            base = tempfile.mkdtemp(prefix="millrace-")
-            atexit.register(shutil.rmtree, base, True)
-            base = f"file://{base}"
-            spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
+            made = tempfile.mkdtemp(prefix="millrace-")
+            atexit.register(shutil.rmtree, made, True)
+            context.setCheckpointDir(f"file://{made}")
+        base = context._jsc.sc().getCheckpointDir().get()
     return base.rstrip("/")
 
 
@@ -43,29 +49,59 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as __) for the actions inside; those of the caller are back afterwards."""
+    named = {k.replace("__", "."): v for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in named}
+    try:
+        for k, v in named.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """df written as Parquet in the shared folder and read again: its lineage ends there, and lost executors lose nothing."""
+    """df written as Parquet in the shared folder and read again: its lineage ends there, and lost executors lose nothing. The shuffle
+    files of the step are deleted when it has ended. The folder goes when discard() is called, or with the session."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    if not _made:
+        atexit.register(_clean)
+    _made[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
-    free(spark)
     return out
 
 
+#: Folders of cut() that are still there. What a query returns may be computed from them at any time, so they last as long as the session.
+_made: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _clean() -> None:
+    for path, spark in _made.items():
+        try:
+            if spark.sparkContext._jsc is None:
+                return
+            _delete(spark, path)
+        except Exception:  # the session has ended before the interpreter; its folder is then the caller's to delete
+            return
+
+
 def discard(*cuts: DataFrame) -> None:
     """Deletes the files of what cut() gave, when nothing that is still to be computed reads them."""
     for df in cuts:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def free(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of finished steps, which it does when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        _delete(df.sparkSession, df.cut_path)
+        _made.pop(df.cut_path, None)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -73,10 +109,42 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2_000, mb: int = 8) -> None:
-    """Bounds what a Python worker gets at once; long texts make the byte bound count."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def slices(batch: pa.RecordBatch, column: str, rows: int = 2_000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch (no copies) with at most so many rows and bytes of a text column; a longer text is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + size, "right"))
+        upto = min(max(upto, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow for columns of any names, which it would refuse for some (backticks, dots)."""
+    names, plain = df.columns, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=plain.names)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
+def added(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
+    """schema without columns named like the fields, and the fields behind it."""
+    names = [n for n, _ in fields]
+    return T.StructType([f for f in schema if f.name not in names] + [T.StructField(n, t) for n, t in fields])
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """names, each with so many underscores in front that no column has it."""
+    low, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in low:
+            n = f"_{n}"
+        out.append(n)
+    return out
 
 
 def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps, all in DataFrame operations.
 
-No step holds a node's neighbours together: minima are aggregated before the shuffle and joined back, where Spark can split hot
-nodes. Each round is written to the shared folder, so its lineage ends there.
+No step holds a node's neighbours together: minima are aggregated before the shuffle and written, and the edges of a hub, which all end
+at its smallest node, are joined to them from a plain shuffle that Spark can split. Each round is written to the shared folder, so its
+lineage ends there.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        below = common.cut(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), "m"), "below")
+        large = e.join(below, F.col("v") == F.col("node"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = common.cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, e = e, common.cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        common.discard(old, below)

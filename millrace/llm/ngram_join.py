@@ -29,7 +29,7 @@ from . import common, fingerprint, graph
 from .substring import _chunks
 
 #: Shingles that one task's trie holds at most, but for a single longer set.
-BLOCK_TOKENS = 48_000
+BLOCK_TOKENS = 200_000
 #: Signatures gathered in a worker before they are sent, at 10 bytes each.
 SEND = 1_000_000
 #: Candidate edges name a class by so many bits of its digest: equal ones join blocks, which loses nothing.
@@ -264,7 +264,6 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
     the row's text. Shingles, and whole sets, are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    common.arrow_batches(spark)
     bands = Bands(percent)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
 
