@@ -13,15 +13,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import common, pretoken
 
-CACHE_PIECES = 400_000
+#: Slices that an encoder keeps, and bytes of them and their codes.
+CACHE_PIECES, CACHE_BYTES = 400_000, 32 << 20
+#: Slices longer than this are not kept.
+LONGEST_KEPT = 256
 #: Texts of so many characters are cut and encoded at a time.
 CHUNK_CHARS = 1_000_000
 MATRIX_BYTES = 48
 #: Tokens decoded at a time.
 RUN = 100_000
+#: Rows decoded at a time.
+DECODED_ROWS = 1_000
 NONE = np.int64(1 << 40)
 
 
@@ -149,7 +155,7 @@ class Encoder:
 
 def encode_pieces(texts: list[str], cache: dict[str, bytes], encode_new) -> Iterator[bytes]:
     """For each text, the cached codes of its slices joined; encode_new gives those of slices that the cache lacks."""
-    at = 0
+    at, size = 0, sum(map(len, cache))
     while at < len(texts):
         upto, chars = at, 0
         while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= CHUNK_CHARS):
@@ -158,13 +164,16 @@ def encode_pieces(texts: list[str], cache: dict[str, bytes], encode_new) -> Iter
         pieces, counts = pretoken.pieces(texts[at:upto])
         distinct = set(pieces)
         new = list(distinct.difference(cache))
-        if len(cache) + len(new) > CACHE_PIECES:
+        if len(cache) + len(new) > CACHE_PIECES or size + sum(map(len, new)) > CACHE_BYTES:
             cache.clear()
-            new = list(distinct)
-        cache.update(zip(new, encode_new(new)))
+            size, new = 0, list(distinct)
+        found = dict(zip(new, encode_new(new)))
+        long = {p: found.pop(p) for p in new if len(p) > LONGEST_KEPT}
+        cache.update(found)
+        size += sum(map(len, found))
         k = 0
         for n in counts.tolist():
-            yield b"".join([cache[p] for p in pieces[k : k + n]])
+            yield b"".join([cache[p] if p in cache else long[p] for p in pieces[k : k + n]] if long else [cache[p] for p in pieces[k : k + n]])
             k += n
         at = upto
 
@@ -186,44 +195,47 @@ def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", ids_col:
     """docs with ids and offsets (array<int>) added: each text by the pattern and the ranks, without special tokens, and where each
     token ends in the text's bytes.
 
-    Null text counts as empty and has no ids. Columns named like ids_col or offsets_col are replaced. Rows stand for themselves; ties, repeats and
-    empty tables need no care. Texts of any length are encoded whole.
+    Null text counts as empty and has no ids. Columns named like ids_col or offsets_col are replaced, others may have any names. Rows
+    stand for themselves; ties, repeats and empty tables need no care. Texts of any length are encoded whole, those beyond a few MB
+    one at a time.
     """
-    common.arrow_batches(docs.sparkSession)
+    schema = common.added(docs.schema, (ids_col, T.ArrayType(T.IntegerType())), (offsets_col, T.ArrayType(T.IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
-            codes = list(enc.encode_batch(texts))
-            offsets = np.zeros(len(codes) + 1, np.int32)
-            np.cumsum([len(c) // 4 for c in codes], out=offsets[1:])
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(codes), "<i4")))
-            ends = [np.cumsum(enc.length[np.frombuffer(c, "<i4")], dtype=np.int32) for c in codes]
-            ends = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ends) if ends else np.zeros(0, np.int32)))
-            yield _replaced(_replaced(batch, ids_col, ids), offsets_col, ends)
+        for whole in batches:
+            for batch in common.slices(whole, text_col):
+                texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+                codes = list(enc.encode_batch(texts))
+                offsets = np.zeros(len(codes) + 1, np.int32)
+                np.cumsum([len(c) // 4 for c in codes], out=offsets[1:])
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(codes), "<i4")))
+                ends = [np.cumsum(enc.length[np.frombuffer(c, "<i4")], dtype=np.int32) for c in codes]
+                ends = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ends) if ends else np.zeros(0, np.int32)))
+                yield _replaced(_replaced(batch, ids_col, ids), offsets_col, ends)
         enc.cache.clear()  # workers outlive their tasks
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in (ids_col, offsets_col))
-    added = f"`{ids_col}` array<int>, `{offsets_col}` array<int>"
-    return docs.mapInArrow(run, f"{kept}, {added}" if kept else added)
+    return common.mapped(docs, run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, *, ids_col: str = "ids", offsets_col: str = "offsets", out_col: str = "decoded") -> DataFrame:
     """df with the bytes of its ids added (binary; null ids: empty), by their offsets if df has them (not null). Ids outside the
-    vocabulary and offsets of other ids raise."""
-    common.arrow_batches(df.sparkSession)
+    vocabulary and offsets of other ids raise. A column named like out_col is replaced, others may have any names; rows stand for
+    themselves, repeated ones too; an empty table stays empty. Tokens of a row are decoded RUN at a time.
+    """
+    schema = common.added(df.schema, (out_col, T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
-        for batch in batches:
-            col = batch.column(batch.schema.names.index(ids_col))
-            ends = batch.column(batch.schema.names.index(offsets_col)) if offsets_col in batch.schema.names else [pa.scalar(None)] * len(col)
-            out = [
-                enc.decode_at(v.values.to_numpy(), e.values.to_numpy()) if v.is_valid and e.is_valid else enc.decode(v.as_py() or [])
-                for v, e in zip(col, ends)
-            ]
-            yield _replaced(batch, out_col, pa.array(out, pa.binary()))
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out_col)
-    return df.mapInArrow(run, f"{kept}, `{out_col}` binary")
+        for whole in batches:
+            for at in range(0, whole.num_rows, DECODED_ROWS):
+                batch = whole.slice(at, DECODED_ROWS)
+                col = batch.column(batch.schema.get_field_index(ids_col))
+                ends = batch.column(batch.schema.get_field_index(offsets_col)) if offsets_col in batch.schema.names else [pa.scalar(None)] * len(col)
+                out = [
+                    enc.decode_at(v.values.to_numpy(), e.values.to_numpy()) if v.is_valid and e.is_valid else enc.decode(v.as_py() or [])
+                    for v, e in zip(col, ends)
+                ]
+                yield _replaced(batch, out_col, pa.array(out, pa.binary()))
+
+    return common.mapped(df, run, schema)

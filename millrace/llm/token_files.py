@@ -72,13 +72,15 @@ def encode_texts(texts: list[str], path: str, end_id: int | None, width: int) ->
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, width: int = 2) -> DataFrame:
-    """(doc_id, codes): the ids of each text as binary. Null text: empty. width: bytes of an id (2 for vocabularies under 65,536)."""
-    common.arrow_batches(docs.sparkSession)
+    """(doc_id, codes): the ids of each text as binary, a row for each row of docs, equal ones too. Null text: empty. Texts of any length
+    are encoded whole. An empty table stays empty. Other columns are ignored, whatever their names. width: bytes of an id (2 for
+    vocabularies under 65,536)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes = encode_texts([x or "" for x in b.column(1).to_pylist()], tokenizer_path, end_id, width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary())], names=["doc_id", "codes"])
+        for whole in batches:
+            for b in common.slices(whole, "text"):
+                codes = encode_texts([x or "" for x in b.column(1).to_pylist()], tokenizer_path, end_id, width)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary())], names=["doc_id", "codes"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, codes binary")
 
@@ -173,7 +175,6 @@ def write(tokens: DataFrame, uri: str, *, width: int = 2) -> DataFrame:
     A task writes a file of its own name, and only files of tasks that ended are in the manifest, so lost or repeated tasks leave
     no trace in what is read. An empty table gives an empty manifest.
     """
-    common.arrow_batches(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(uri)
@@ -194,8 +195,10 @@ def write(tokens: DataFrame, uri: str, *, width: int = 2) -> DataFrame:
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, codes) of all documents of a manifest; start: ids of all documents before it. codes: little-endian u32."""
-    common.arrow_batches(manifest.sparkSession)
+    """(doc_id, start, n_tokens, codes) of all documents of a manifest; start: ids of all documents before it. codes: little-endian u32.
+
+    Null and repeated ids are read as they were written, an empty manifest gives no rows; a file is read frame by frame, however long.
+    """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over files, not documents
     files = manifest.select("file", "n_frames", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
 

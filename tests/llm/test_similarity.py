@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -160,6 +161,18 @@ def test_substrings(spark, seed):
     assert got == removed(rows, 20)
 
 
+def test_substring_factors(spark):
+    """Factors say where their words stand first, go on as long as the reference does, and windows across their ends are found."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, f"{a} {b}"), (2, f"{b} {c}"), (3, f"x {a} {b} {c} y"), (4, "z " * 40 + b), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in substring.deduplicate(df, window=20, gram=6).collect()}
+    assert [tuple(f) for f in got[3].factors] == [(1, 61, 1, 0), (42, 91, 2, 11)] and got[3].kept == "x y"
+    assert [tuple(f) for f in got[4].factors] == [(40, 70, 1, 30)] and got[5].factors is None and got[1].n_removed == 0
+    words = {i: (t or "").split() for i, t in rows}
+    assert all(words[r.doc_id][f.start : f.end] == words[f["doc_id"]][f.place : f.place + f.end - f.start] for r in got.values() for f in r.factors or [])
+
+
 def test_substrings_empty(spark):
     assert substring.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -188,3 +201,35 @@ def test_embeddings(spark):
     got = sorted((str(x.vec_id), x.n_links, str(x.component_id), x.kept) for x in embed_dedup.near_duplicates(df, 0.93, tile=16).collect())
     assert got == want
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embedding_threshold_is_exact(spark):
+    """Pairs a few roundings around the threshold link exactly if their cosine, in exact arithmetic, is not below it."""
+    r = np.random.default_rng(8)
+    rows, want = [], {}
+    for k in range(150):
+        x = r.normal(size=8)
+        x /= np.linalg.norm(x)
+        o = r.normal(size=8)
+        o -= (o @ x) * x
+        o /= np.linalg.norm(o)
+        y = 0.93 * x + math.sqrt(1 - 0.93**2) * o
+        y[int(r.integers(8))] += r.integers(-3, 4) * 2e-16
+        rows += [(2 * k, x.tolist(), k), (2 * k + 1, y.tolist(), k)]
+        dot = sum(Fraction(a) * Fraction(b) for a, b in zip(x.tolist(), y.tolist()))
+        norms = [sum(Fraction(a) ** 2 for a in v.tolist()) for v in (x, y)]
+        want[2 * k] = want[2 * k + 1] = int(dot * dot >= Fraction(0.93) ** 2 * norms[0] * norms[1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {x.vec_id: x.n_links for x in embed_dedup.near_duplicates(df, 0.93).collect()} == want
+    assert 20 < sum(want.values()) / 2 < 130
+
+
+@pytest.mark.parametrize("strip", [1, 3])
+def test_embedding_strips(spark, strip):
+    """Many tiles and strips of one label give what one tile gives."""
+    r = np.random.default_rng(4)
+    base = r.normal(size=(30, 6))
+    rows = [(i, (base[r.integers(30)] + r.normal(size=6) * 0.2).tolist(), 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    one = sorted(map(tuple, embed_dedup.near_duplicates(df, 0.93).collect()))
+    assert sorted(map(tuple, embed_dedup.near_duplicates(df, 0.93, tile=8, strip=strip).collect())) == one

@@ -93,26 +93,37 @@ def test_language_gradients():
         assert (up - down) / 2e-3 == pytest.approx(g[at], rel=1e-2)
 
 
-def test_language_lanes_are_the_network():
-    """Lanes of padded chunks give what a plain loop over each chunk gives."""
+@pytest.mark.parametrize("hold", [0.0, 3.0])
+def test_language_states_run_through_the_text(hold):
+    """Lanes side by side give what one loop over the whole text gives, also with gates that hold a state for long."""
     net = langid._fresh(["a", "b"], np.random.default_rng(2))
-    text = bytes(np.random.default_rng(3).integers(0, 255, 300).astype("u1"))
-    total = np.zeros(2)
-    for k in range(0, 300, langid.CHUNK):
-        x = text[k : k + langid.CHUNK]
-        states = []
-        for d, seq in ((0, x), (1, x[::-1])):
-            h, out = np.zeros(langid.UNITS), []
-            for b in seq:
-                g = net.table[d][:, b] + net.turn[d] @ h
-                z, n = np.clip(0.5 + g[: langid.UNITS], 0, 1), np.clip(g[langid.UNITS :], -1, 1)
-                h = h + z * (n - h)
-                out.append(h)
-            states.append(out if d == 0 else out[::-1])
-        for f, b in zip(*states):
-            p = np.exp(net.out[0] @ f + net.out[1] @ b + net.bias[:, 0])
-            total += p / p.sum()
-    assert langid.predict(net, [b"", text])[1] == pytest.approx(total / 300, rel=1e-3)
+    net.table[:, : langid.UNITS] -= hold * (np.arange(257) % 50 != 0)  # most bytes then leave the state as it is
+    text = bytes(np.random.default_rng(3).integers(0, 255, 1000).astype("u1"))
+    total, states = np.zeros(2), []
+    for d, seq in ((0, text), (1, text[::-1])):
+        h, out = np.zeros(langid.UNITS), []
+        for b in seq:
+            g = net.table[d][:, b] + net.turn[d] @ h
+            z, n = np.clip(0.5 + g[: langid.UNITS], 0, 1), np.clip(g[langid.UNITS :], -1, 1)
+            h = h + z * (n - h)
+            out.append(h)
+        states.append(out if d == 0 else out[::-1])
+    for f, b in zip(*states):
+        p = np.exp(net.out[0] @ f + net.out[1] @ b + net.bias[:, 0])
+        total += p / p.sum()
+    got = langid.predict(net, [b"", text, b"x", text[:128], text[:129]])
+    assert got[1] == pytest.approx(total / 1000, rel=1e-3) and not got[0].any()
+    assert langid.predict(net, [text])[0] == pytest.approx(got[1], rel=1e-4)
+
+
+def test_language_sample_is_bounded(spark):
+    """One id repeated on many rows, and clashing names."""
+    rows = [(1, "the same text of one row", "en")] * 5000 + [(i, f"ein anderer Text {i}", "de") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("plain", F.lit(1)).withColumn("a`b", F.lit(2))
+    net = langid.fit(df)
+    got = langid.identify(df, net)
+    assert net.langs == ["de", "en"] and got.columns == ["doc_id", "text", "lang", "plain", "a`b", "lang_pred", "score"]
+    assert got.filter("lang = lang_pred").count() >= 5040
 
 
 def test_language_accuracy(spark):
