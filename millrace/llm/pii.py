@@ -1,10 +1,14 @@
 """Personal data: base patterns plus candidates chosen by gradient boosting, in SQL functions only.
 
 Base spans (email, ip, card, phone) are exact patterns and always stay. High-recall generators propose further spans, which may
-overlap: emails written out ("at", "dot"), phone numbers without "+", IPv6 addresses (also with "::"), cards with odd separators, national and bank
-account numbers. Boosted trees score each by format and context; a kind's threshold is calibrated on held-out examples to a
-bounded share of false alarms. The trees are trained here, on made examples (N_TRAIN of them, fixed seed), and become one
+overlap: emails written out ("at", "dot"), phone numbers without "+", IPv6 addresses (also with "::"), cards with odd separators,
+long numbers, national and bank account numbers, and secrets (keys, tokens, passwords, by their form or by what they are assigned to).
+Boosted trees score each by format and context; a kind's threshold is calibrated on held-out examples to a bounded share of false
+alarms. No table labels personal data, so the trees are trained here, on made examples (N_TRAIN of them, fixed seed); they become one
 expression. Generated spans that overlap a base span or a better one that is kept are dropped.
+
+Work grows with the length of a text and its number of candidates: running sums and states go by chunks of CHUNK items, and spans
+are compared within a run of overlapping ones only.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "id")
-SPAN = "array<struct<start:int,end:int,kind:int,m:string>>"
+from . import common
+
+KINDS = ("email", "ip", "card", "phone", "id", "secret")
+CHUNK = 256
 MARK, MARK_FREE = chr(0xE000), chr(0xE001)  # private use; neither matches any pattern here
 #: Every base ip, card or phone holds this; most texts do not.
 NUMERIC = r"[0-9][0-9 ().+/-]{5,}[0-9]"
@@ -38,6 +44,10 @@ GENERATORS = (
     ("card", r"[0-9]{4}[._/][0-9]{4}", r"(?<![0-9A-Za-z.])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9A-Za-z])"),
     ("id", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("id", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
+    ("id", r"[0-9]{11}", r"(?<![0-9A-Za-z.,_-])[0-9]{11,24}(?![0-9A-Za-z_-]|[.,][0-9])"),
+    ("secret", r"[0-9A-Fa-f]{24}", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{24,128}(?![0-9A-Za-z])"),
+    ("secret", r"AKIA|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ", r"(?<![0-9A-Za-z_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,64}|sk-[0-9A-Za-z_-]{20,64}|xox[abprs]-[0-9A-Za-z-]{10,72}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,400}\.[0-9A-Za-z_-]{10,400}\.[0-9A-Za-z_-]{10,400})(?![0-9A-Za-z_-])"),
+    ("secret", r"(?i)(?:token|secret|passw|pwd|key)[\x20\"'a-z0-9_-]{0,8}[:=]", r"(?i)(?<=(?:token|secret|password|passwd|pwd|key)[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?)(?![:=\x20\"'])[!#-&(-+.-:<-~]{6,128}"),
 )
 #: Context words, by kind, looked for in the CONTEXT characters before a candidate.
 CONTEXT = 32
@@ -47,9 +57,12 @@ CUES = {
     "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "credit", "payment", "mastercard"),
     "id": ("ssn", "social", "iban", "account", "security", "passport"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "key", "bearer", "credential"),
 }
-FEATURES = ("kind", "length", "digits", "groups", "luhn", "cue", "at_marked", "dot_marked", "parens", "letters", "plain_date", "one_mark")
-N_TRAIN, N_HELD, N_TREES, DEPTH, RATE = 3000, 3000, 24, 3, 0.3
+#: Words before hexadecimal digits that are no secret, and before numbers that name no person.
+PUBLIC = ("commit", "sha", "md5", "checksum", "digest", "hash", "isbn", "issn", "time", "build", "revision", "total", "population")
+FEATURES = ("kind", "length", "digits", "groups", "luhn", "cue", "at_marked", "dot_marked", "parens", "letters", "plain_date", "one_mark", "distinct", "upper", "public", "assigned", "leading")
+N_TRAIN, N_HELD, N_TREES, DEPTH, RATE = 4000, 4000, 32, 4, 0.3
 FALSE_ALARMS = 0.005
 
 
@@ -66,68 +79,94 @@ def _luhn(m: Column) -> Column:
     return (F.char_length(d) > 0) & (total % 10 == 0)
 
 
-def _found(pieces: Column, kind: int) -> Column:
-    """Spans of the odd pieces of a text that was split at marks."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(SPAN).alias("spans"))
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(items: Column, zero: Column, kind: str, step) -> Column:
+    """The states after each item. Arrays grow by copying, so they are kept short: CHUNK states, then one entry a chunk."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK)))
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(state: Column, chunk: Column) -> Column:
+        return F.aggregate(chunk, F.struct(state.alias("s"), none.alias("out")), lambda b, x: _let(step(b["s"], x), lambda n: F.struct(n.alias("s"), F.concat(b["out"], F.array(n)).alias("out"))))
+
+    def outer(a: Column, chunk: Column) -> Column:
+        return _let(inner(a["s"], chunk), lambda done: F.struct(done["s"].alias("s"), F.concat(a["out"], F.array(done["out"])).alias("out")))
+
+    start = F.struct(zero.cast(kind).alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(chunks, start, outer, lambda a: a["out"]))).otherwise(none)
+
 
-    def step(a: Column, p: Column) -> Column:
-        end = a["at"] + F.char_length(p)
-        span = F.array(F.struct(a["at"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), p.alias("m")))
-        return F.struct(end.alias("at"), (~a["inside"]).alias("inside"), F.when(a["inside"], F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+def _span(start: Column, end: Column, kind: int, m: Column, before: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(kind).alias("kind"), m.alias("m"), before.alias("before"))
 
-    return F.aggregate(pieces, start, step, lambda a: a["spans"])
 
+FOUND = "array<struct<start:int,end:int,kind:int,m:string,before:string>>"
 
-def _matches(d: DataFrame, name: str, gate: Column, pattern: str, kind: int) -> DataFrame:
-    """d with the matches of pattern in __t as spans; texts outside the gate are not searched."""
-    marked = F.regexp_replace(F.col("__t"), F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
-    d = d.withColumn("__p", F.when(gate, F.split(marked, MARK, -1)))
-    return d.withColumn(name, F.when(F.size("__p") > 1, _found(F.col("__p"), kind)).otherwise(F.array().cast(SPAN))).drop("__p")
 
+def _found(pieces: Column, kind: int) -> Column:
+    """Spans of the odd pieces of a text that was split at marks, with the end of the piece before."""
+    ends = _scan(F.transform(pieces, F.char_length), F.lit(0), "int", lambda s, n: s + n)
+    odd = F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2))
+    return _let(ends, lambda e: F.transform(odd, lambda i: _span(F.get(e, i - 1), F.get(e, i), kind, F.get(pieces, i), F.right(F.get(pieces, i - 1), F.lit(CONTEXT)))))
+
+
+def _matches(d: DataFrame, t: str, p: str, name: str, gate: Column, pattern: str, kind: int) -> DataFrame:
+    """d with the matches of pattern in t as spans; texts outside the gate are not searched. p: a free name."""
+    marked = F.regexp_replace(F.col(t), F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
+    d = d.withColumn(p, F.when(gate, F.split(marked, MARK, -1)))
+    return d.withColumn(name, F.when(F.size(p) > 1, _found(F.col(p), kind)).otherwise(F.array().cast(FOUND))).drop(p)
 
-def _emails(d: DataFrame) -> DataFrame:
+
+def _emails(d: DataFrame, t: str, p_: str, name: str) -> DataFrame:
     """Emails between the @ of a text: the part before one and the part after it are the ends of neighbouring pieces."""
     local, domain = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\z", r"\A[A-Za-z0-9-][A-Za-z0-9.-]*+"
-    d = d.withColumn("__p", F.when(F.contains("__t", F.lit("@")), F.split("__t", "@", -1)))
-    p = F.col("__p")
+    d = d.withColumn(p_, F.when(F.contains(t, F.lit("@")), F.split(t, "@", -1)))
 
     def host(s: Column) -> Column:
         run = F.substring_index(F.regexp_extract(s, domain, 0), "..", 1)
         run = F.regexp_replace(run, r"\.\z", "")
         return F.when(F.contains(run, F.lit(".")), run).otherwise(F.lit(""))
 
-    # (length of the piece, of its local part, of its host)
-    d = d.withColumn("__p", F.transform(p, lambda s: F.struct(s.alias("s"), F.char_length(s).alias("n"), F.regexp_extract(s, local, 0).alias("local"), host(s).alias("host"))))
-    p = F.col("__p")
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("spans"))
-
-    def step(a: Column, x: Column) -> Column:
-        after = F.get(p, a["i"] + 1)
-        end = a["at"] + x["n"]
-        begin = F.greatest(end - F.char_length(x["local"]), a["free"])
-        hit = F.coalesce((begin < end) & (F.char_length(after["host"]) > 0), F.lit(False))
-        stop = end + 1 + F.char_length(after["host"])
-        m = F.concat(F.substring(x["s"], begin - a["at"] + 1, end - begin), F.lit("@"), after["host"])
-        span = F.array(F.struct(begin.alias("start"), stop.alias("end"), F.lit(0).alias("kind"), m.alias("m")))
-        return F.struct((end + 1).alias("at"), F.when(hit, stop).otherwise(a["free"]).alias("free"), (a["i"] + 1).alias("i"), F.when(hit, F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
-
-    return d.withColumn("__email", F.when(F.size("__p") > 1, F.aggregate(p, start, step, lambda a: a["spans"])).otherwise(F.array().cast(SPAN))).drop("__p")
-
-
-def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __email, __ip, __card, __phone (arrays of spans) and __t, the text without marks. Null text counts as empty."""
-    d = docs.withColumn("__t", F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(MARK), F.lit(MARK_FREE)))
-    d = d.withColumn("__num", F.col("__t").rlike(NUMERIC))
-    num = F.col("__num")
-    d = _emails(d)
-    d = _matches(d, "__ip", num, IP, 1)
-    d = _matches(d, "__card", num, CARD, 2)
-    d = _matches(d, "__phone", num & F.contains("__t", F.lit("+")), PHONE, 3)
+    # the piece, its length, and those of its local part and of its host
+    d = d.withColumn(p_, F.transform(p_, lambda s: _let(host(s), lambda h: F.struct(s.alias("s"), F.char_length(s).alias("n"), F.char_length(F.regexp_extract(s, local, 0)).alias("local"), F.char_length(h).alias("host"), h.alias("name")))))
+    d = d.withColumn(p_, F.zip_with(p_, F.slice(p_, F.lit(2), F.size(p_)), lambda x, y: F.struct(x.alias("x"), F.coalesce(y["host"], F.lit(0)).alias("next"), y["name"].alias("name"))))
+    p = F.col(p_)
+    ends = _scan(F.transform(p, lambda q: q["x"]["n"] + 1), F.lit(0), "int", lambda s, n: s + n)
+    # state: the first free place of the piece after a match, or -1; a match takes the host at the start of the next piece
+    begin = lambda s, q: F.greatest(q["x"]["n"] - q["x"]["local"], F.when(s >= 0, s).otherwise(0))
+    free = _scan(p, F.lit(-1), "int", lambda s, q: F.when((q["next"] > 0) & (begin(s, q) < q["x"]["n"]), q["next"]).otherwise(F.lit(-1)))
+
+    def spans(e: Column, f: Column) -> Column:
+        hits = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.get(f, i) >= 0)
+
+        def one(i: Column) -> Column:
+            q, end = F.get(p, i), F.get(e, i) - 1
+            at = begin(F.when(i > 0, F.get(f, i - 1)).otherwise(F.lit(-1)), q)
+            m = F.concat(F.right(q["x"]["s"], q["x"]["n"] - at), F.lit("@"), q["name"])
+            return _span(end - q["x"]["n"] + at, end + 1 + q["next"], 0, m, F.lit(""))
+
+        return F.transform(hits, one)
+
+    found = _let(F.struct(ends.alias("e"), free.alias("f")), lambda x: spans(x["e"], x["f"]))
+    return d.withColumn(name, F.when(F.size(p_) > 1, found).otherwise(F.array().cast(FOUND))).drop(p_)
+
+
+def base_spans(d: DataFrame, t: str, names: list[str], free: str) -> DataFrame:
+    """d with the names added: emails, ips, cards and phones in t, the text without marks, as arrays of spans. free: a free name."""
+    email, ip, card, phone, p = *names, free
+    num = F.col(t).rlike(NUMERIC)
+    d = _emails(d, t, p, email)
+    d = _matches(d, t, p, ip, num, IP, 1)
+    d = _matches(d, t, p, card, num, CARD, 2)
+    d = _matches(d, t, p, phone, num & F.contains(t, F.lit("+")), PHONE, 3)
     n = lambda x: F.char_length(_digits(x["m"]))
     return d.withColumns({
-        "__ip": F.filter("__ip", lambda x: x["m"].rlike(IP_FITS)),
-        "__card": F.filter("__card", lambda x: _luhn(x["m"])),
-        "__phone": F.filter("__phone", lambda x: (n(x) >= 9) & (n(x) <= 15)),
+        ip: F.filter(ip, lambda x: x["m"].rlike(IP_FITS)),
+        card: F.filter(card, lambda x: _luhn(x["m"])),
+        phone: F.filter(phone, lambda x: (n(x) >= 9) & (n(x) <= 15)),
     })
 
 
@@ -145,6 +184,9 @@ def _features(c: Column, before: Column) -> Column:
         F.when(F.contains(m, F.lit("(")), 1).otherwise(0), F.char_length(F.regexp_replace(m, r"[^A-Za-z]", "")),
         F.when(m.rlike(r"\A(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2})\z"), 1).otherwise(0),
         F.size(F.array_distinct(F.split(F.regexp_replace(m, r"[0-9A-Za-z]+", ""), ""))),
+        F.size(F.array_distinct(F.split(m, ""))), F.char_length(F.regexp_replace(m, r"[^A-Z]", "")),
+        F.when(low.rlike(rf"(?<![a-z])(?:{'|'.join(PUBLIC)})"), 1).otherwise(0), F.when(before.rlike(r"[:=]\x20{0,2}[\"']?\z"), 1).otherwise(0),
+        F.when(m.rlike(r"\A[0-9]{3}"), F.substring(m, 1, 3)).otherwise(F.lit("0")),
     )])
 
 
@@ -157,6 +199,8 @@ def features(kind: str, m: str, before: str) -> list[float]:
         bool(re.search(rf"(?<![a-z])(?:{'|'.join(CUES[kind])})", before.lower())), bool(re.search(r"(?i)[(\[{]at[)\]}]", m)), bool(re.search(r"(?i)[(\[{]dot[)\]}]| dot ", m)),
         "(" in m, len(re.sub(r"[^A-Za-z]", "", m)), bool(re.fullmatch(r"[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}", m)),
         len(set(marks)) or 1,
+        len(set(m)), len(re.sub(r"[^A-Z]", "", m)), bool(re.search(rf"(?<![a-z])(?:{'|'.join(PUBLIC)})", before.lower())), bool(re.search(r"[:=]\x20{0,2}[\"']?\Z", before)),
+        int(m[:3]) if re.match(r"[0-9]{3}", m) else 0,
     )]
 
 
@@ -196,6 +240,27 @@ def _example(r: random.Random) -> tuple[str, str, str, int]:
         check = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
         d += str(-check % 10) if good else str((-check + r.randint(1, 9)) % 10)
         m = s.join(d[i : i + 4] for i in range(0, 16, 4))
+    elif kind == "secret":
+        pick = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+        hexes, mixed = "0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
+        named = r.choice(["token", "secret", "password", "api_key", "pwd", "access key"]) + r.choice([" = ", "=", ": "]) + r.choice(['"', "'", ""])
+        if good:
+            shape = r.random()
+            m = pick(hexes, r.choice([32, 40, 64])) if shape < 0.5 else pick(mixed, r.randint(20, 48)) if shape < 0.75 else r.choice(["AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "ghp_" + pick(mixed, 36), "sk-" + pick(mixed, 40)])
+            m = m.upper() if r.random() < 0.1 else m
+            if r.random() < 0.75:
+                before = f"{word()} {named}"
+                m = m if r.random() < 0.8 else word().title() + r.choice("!%*#") + n(r.randint(2, 5))
+        elif r.random() < 0.5:
+            m, before = pick(hexes, r.choice([24, 32, 40, 64])), f"{word()} {r.choice(PUBLIC[:6])} "
+        else:
+            m, before = r.choice([word() + word() + word()[:1], "required", "string", word().title() + word(), "0" * r.randint(24, 40), word() + "_" + word()]), f"{word()} {named}"
+            if m[0] == "0":
+                before = f"{word()} {word()} "
+    elif r.random() < 0.5:
+        m = n(r.choice([12, 14, 15, 16, 16, 16, 16, 17, 18, 19])) if good else r.choice(["1" + r.choice("4567") + n(11), r.choice(["978", "979"]) + n(10), r.choice("0123456789") * r.randint(11, 20), n(4) + "0" * r.randint(7, 12), n(11), n(24)])
+        if not good and r.random() < 0.4:
+            m, before = n(r.randint(11, 18)), f"{word()} {r.choice(PUBLIC[6:])} "
     else:
         m = r.choice([f"{n(3)}-{n(2)}-{n(4)}", r.choice(["DE", "FR", "GB", "ES"]) + n(2) + " " + " ".join(n(4) for _ in range(r.randint(4, 5)))])
         if not good:
@@ -261,40 +326,54 @@ def _apart(a: Column, b: Column) -> Column:
 
 
 def _chosen(scored: Column) -> Column:
-    """Spans c of scored (array of structs score, c), best first, that overlap none chosen before; of equal scores the first span."""
-    best = F.sort_array(F.transform(scored, lambda x: F.struct((-x["score"]).alias("worse"), x["c"].alias("c"))))
-    return F.aggregate(best, F.array().cast(SPAN), lambda kept, x: F.when(F.forall(kept, lambda k: _apart(k, x["c"])), F.concat(kept, F.array(x["c"]))).otherwise(kept))
+    """Spans of scored (array of structs score, c; base spans have no score) that stay: the base, and of the others, best first, those
+    that overlap none kept before; of equal scores the first span. Compared within runs of overlapping spans."""
+    by_start = F.transform(F.array_sort(F.transform(scored, lambda x: F.struct(x["c"]["start"].alias("a"), x["c"]["end"].alias("z"), x["score"].alias("score"), x["c"].alias("c")))), lambda x: x)
+    best = lambda run: F.array_sort(F.transform(run, lambda x: F.struct(F.coalesce(-x["score"], F.lit(float("-inf"))).alias("worse"), x["c"].alias("c"))))
+    none = F.array().cast(FOUND)
+
+    def greedy(run: Column) -> Column:
+        is_base = lambda x: x["worse"] == float("-inf")
+        keep = lambda kept, x: F.when(is_base(x) | F.forall(kept, lambda k: _apart(k, x["c"])), F.concat(kept, F.array(x["c"]))).otherwise(kept)
+        return F.when(F.size(run) > 1, F.aggregate(best(run), none, keep)).otherwise(F.transform(run, lambda x: x["c"]))
+
+    def runs(x: Column, reach: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i)["a"] >= F.get(reach, i - 1)))
+        return _let(heads, lambda h: F.flatten(F.transform(h, lambda i, k: greedy(F.slice(x, i + 1, F.coalesce(F.get(h, k + 1), F.size(x)) - i)))))
+
+    chosen = _let(by_start, lambda x: _let(_scan(F.transform(x, lambda s: s["z"]), F.lit(0), "int", lambda s, z: F.greatest(s, z)), lambda reach: runs(x, reach)))
+    return F.when(F.size(scored) > 0, chosen).otherwise(none)
 
 
 def find(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs with base (array of base spans) and spans (base and added) added, ordered by start, then kind; start and end in code
     points, end exclusive; kind as index of KINDS.
 
-    Null text counts as empty and has no spans. Columns of docs named like an added one are replaced; rows stand for themselves.
+    Null text counts as empty and has no spans. Texts of any length are searched whole, as one row. Columns of docs named like an added
+    one are replaced, others may have any names; rows stand for themselves; an empty table stays empty.
     """
-    d = base_spans(docs, text_col)
-    order = lambda c: F.transform(F.sort_array(F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["m"].alias("m")))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["m"].alias("m")))
-    d = d.withColumn("base", order(F.concat("__email", "__ip", "__card", "__phone")))
-    t, names = F.col("__t"), []
-    for i, (kind, gate, pattern) in enumerate(GENERATORS):
-        d = _matches(d, f"__g{i}", t.rlike(gate), pattern, KINDS.index(kind))
-        names.append(f"__g{i}")
-    d = d.withColumn("__c", F.filter(F.concat(*names), lambda c: F.forall("base", lambda b: _apart(c, b))))
+    names = common.fresh([*docs.columns, "base", "spans"], "t", "p", "email", "ip", "card", "phone", "all", *[f"g{i}" for i in range(len(GENERATORS))])
+    t_, p_, four, all_, made = names[0], names[1], names[2:6], names[6], names[7:]
+    d = docs.withColumn(t_, F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(MARK), F.lit(MARK_FREE)))
+    d = base_spans(d, t_, four, p_)
+    for name, (kind, gate, pattern) in zip(made, GENERATORS):
+        d = _matches(d, t_, p_, name, F.col(t_).rlike(gate), pattern, KINDS.index(kind))
     trees, thresholds, _ = model()
-    before = lambda c: F.substring(t, F.greatest(c["start"] - CONTEXT, F.lit(0)) + 1, F.least(c["start"], F.lit(CONTEXT)))
-    d = d.withColumn("__f", F.transform("__c", lambda c: F.struct(c.alias("c"), _features(c, before(c)).alias("f"))))
 
     def score(x: Column) -> Column:
         total = F.lit(0.0)
         for tree in trees:
-            total = total + _sql_value(tree, x["f"])
+            total = total + _sql_value(tree, x)
         return total
 
     limits = F.array(*[F.lit(thresholds[k]) for k in KINDS])
-    d = d.withColumn("__f", F.filter(F.transform("__f", lambda x: F.struct(score(x).alias("score"), x["c"].alias("c"))), lambda x: x["score"] > F.get(limits, x["c"]["kind"])))
-    added = _chosen(F.col("__f"))
-    d = d.withColumn("spans", order(F.concat("base", added)))
-    return d.drop("__t", "__num", "__email", "__ip", "__card", "__phone", "__c", "__f", *names)
+    scored = F.transform(F.concat(*made), lambda c: _let(_features(c, c["before"]), lambda f: F.struct(score(f).alias("score"), c.alias("c"))))
+    scored = F.filter(scored, lambda x: x["score"] > F.get(limits, x["c"]["kind"]))
+    base = F.transform(F.concat(*four), lambda c: F.struct(F.lit(None).cast("double").alias("score"), c.alias("c")))
+    d = d.withColumn(all_, F.when(F.size(F.concat(*made)) > 0, F.concat(base, scored)).otherwise(base))
+    order = lambda c: F.transform(F.array_sort(F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["m"].alias("m")))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["m"].alias("m")))
+    d = d.withColumn("base", order(F.concat(*four))).withColumn("spans", order(_chosen(F.col(all_))))
+    return d.drop(*names)
 
 
 def listed(spans: Column) -> Column:
@@ -304,14 +383,15 @@ def listed(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """text with each span replaced by its kind in angle brackets; overlapping spans become one replacement, of the first's kind."""
+    """text with each span replaced by its kind in angle brackets; overlapping spans become one replacement, of the first's kind. Null
+    text stays null."""
     kinds = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    reach = _scan(F.transform(spans, lambda s: s["end"]), F.lit(0), "int", lambda a, z: F.greatest(a, z))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        more = F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(kinds, s["kind"]))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], more)).otherwise(a["out"]).alias("out"))
+    def pieces(upto: Column) -> Column:
+        done = lambda i: F.coalesce(F.get(upto, i - 1), F.lit(0))
+        one = lambda s, i: F.when(s["start"] >= done(i), F.concat(F.substring(text, done(i) + 1, s["start"] - done(i)), F.get(kinds, s["kind"]))).otherwise(F.lit(""))
+        rest = F.substring(text, F.element_at(upto, -1) + 1, F.char_length(text))
+        return F.concat(F.array_join(F.transform(spans, one), ""), rest)
 
-    done = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.char_length(text)))))
-    return F.when(F.size(spans) > 0, F.array_join(done, "")).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(reach, pieces)).otherwise(text)

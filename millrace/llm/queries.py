@@ -107,17 +107,62 @@ FROM r
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
+    of = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    counts = [of(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
     return d.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = common.cut(quality.measured(docs).drop("text"), "measured")
-    steps = common.cut(quality.cutoffs(rows, table(spark, sf_dir, "labels")), "cutoffs")
+    steps = common.cut(quality.proven(rows, table(spark, sf_dir, "labels")), "steps")
     return quality.judged(rows, steps).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _beyond() -> str:
+    """SQL: for each step, whether a rule rejects at it."""
+    out = []
+    for g in range(quality.STEPS):
+        tests = [f"{top} {'>' if sign > 0 else '<'} {low} * {cutoffs[g]!r}::DOUBLE" for top, low, sign, cutoffs in quality.RULES.values()]
+        out.append(f"CASE WHEN {' OR '.join(tests)} THEN 1 ELSE 0 END")
+    return ", ".join(out)
+
+
+OP9_SQL = rf"""
+WITH t AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text FROM documents
+), d AS (
+  SELECT doc_id, lang, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM d)
+), r AS (
+  SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM g) WHERE c > 1) GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, length(regexp_replace(text, '\P{{Lu}}', '', 'g')) AS n_capitals,
+    length(regexp_replace(text, '[\p{{L}}\p{{N}}\x20\x09-\x0D]', '', 'g')) AS n_marks,
+    len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, [{_beyond()}] AS hit FROM m
+), s AS (
+  SELECT *, coalesce(list_position(hit, 1), {quality.STEPS + 1}) AS step FROM b
+), q AS (
+  SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1
+), c AS (
+  SELECT lang, count(*) AS n, list(step) AS steps FROM s SEMI JOIN q ON s.doc_id = q.doc_id WHERE NOT base_failed GROUP BY lang
+), k AS (
+  SELECT lang, n, g, len(list_filter(steps, lambda x: x <= g)) AS k, count(*) OVER () / {quality.STEPS} AS strata FROM c, range(1, {quality.STEPS + 1}) AS x(g)
+), p AS (
+  SELECT lang, g, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.RISK}) + (n - i) * ln(1 - {quality.RISK})))) <= {quality.ERROR} / strata AS ok FROM k
+), z AS (
+  SELECT lang, coalesce(min(g) FILTER (WHERE NOT ok), {quality.STEPS + 1}) - 1 AS proven FROM p GROUP BY lang
+)
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND step > coalesce(z.proven, 0) AS kept
+FROM s LEFT JOIN z ON s.lang IS NOT DISTINCT FROM z.lang
+"""
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = langid.fit(docs.filter(~langid.held_out()))
@@ -203,4 +248,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
-SQL = {"op2_ngram_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op7_mixing": OP7_SQL}
+SQL = {"op2_ngram_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op7_mixing": OP7_SQL, "op9_quality_rules": OP9_SQL}
