@@ -340,6 +340,7 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
     size = alive.groupBy("block").agg(F.sum("n").alias("total"))
     per_band = alive.groupBy("block", "band").agg(F.ceil(2 * F.sum("n") / block_tokens).cast("int").alias("tiles"))
     size = size.join(per_band.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("band", "tiles"))).alias("tiles")), "block")  # one entry a band, about 100 at most
+    size = common.cut(size, "sizes")  # so that a large block's rows can be split where they meet it
     placed = alive.join(size, "block")
     name = lambda g, i: F.shiftleft(g.cast("long"), 32) + i
     every = lambda g: F.transform(F.sequence(F.lit(1), F.coalesce(F.col("tiles")[g], F.lit(0))), lambda i: name(g, i))
