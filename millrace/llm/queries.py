@@ -89,22 +89,31 @@ WITH d AS (
   SELECT arg_min(level, cap / w) FILTER (WHERE level * w <= cap) AS level FROM f
 ), t AS (
   SELECT f.source, f.source_size, least(cap, l.level * w) AS target FROM f, l
+), x AS (
+  SELECT doc_id, source, size, greatest(length(bin(size)) - 1, 0) AS k, (CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d
+), g AS (
+  SELECT source, k, sum(size) AS words, least(greatest(k, 2), 8) / 8.0::DOUBLE AS w FROM x GROUP BY source, k
+), h AS (
+  SELECT g.*, t.source_size, t.target, (t.target - 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY g.source ORDER BY w DESC, k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / nullif(sum(w * words) OVER (PARTITION BY g.source ORDER BY w DESC, k DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS c
+  FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source
+), i AS (
+  SELECT *, arg_max(c, w * 100 + k) FILTER (WHERE c * w <= 2.0::DOUBLE) OVER (PARTITION BY source) AS best FROM h
+), e AS (
+  SELECT *, coalesce(least(best * w, 2.0::DOUBLE), 2.0::DOUBLE) AS e FROM i
 ), p AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS sure,
-    CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p FROM t
-), u AS (
-  SELECT d.doc_id, d.text, d.size, p.*, (CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+  SELECT *, floor(e) AS sure, e - floor(e) AS p, target - sum(floor(e) * words) OVER (PARTITION BY source) AS goal FROM e
 ), q AS (
-  SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM u
+  SELECT x.doc_id, x.size, p.*, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM x JOIN p ON x.source IS NOT DISTINCT FROM p.source AND x.k = p.k
 ), r AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed FROM q
+  SELECT *, coalesce(sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed FROM q
 )
-SELECT doc_id, size, source_size, target,
-  CAST((sure + CASE WHEN p > 0 AND passed + size / 2.0::DOUBLE <= target - sure * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST((sure + CASE WHEN p > 0 AND passed + size / 2.0::DOUBLE <= goal THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM r
 """
 
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")

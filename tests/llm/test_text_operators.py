@@ -169,6 +169,17 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_is_unequal(spark):
+    """Within a source, longer documents are taken more often, as their weights say; clashing names do no harm."""
+    r = random.Random(2)
+    rows = [(i, " ".join(["w"] * (4 if i % 2 else 300)), "a" if i % 3 else "b") for i in range(4000)]
+    df = spark.createDataFrame([(*x, 1, 2, 3, 4) for x in rows], "doc_id long, text string, source string, of int, class int, u int, p int")
+    got = mixing.mix(df).filter("source = 'a'").collect()
+    mean = {n: [x.copies for x in got if x.size == n] for n in (4, 300)}
+    short, long = (sum(mean[n]) / len(mean[n]) for n in (4, 300))
+    assert 1.2 < long <= 2 and short == pytest.approx(long / 4, rel=0.15) and {(x.of, x["class"], x.u, x.p) for x in got} == {(1, 2, 3, 4)}
+
+
 def base_spans(t):
     o = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     o += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
