@@ -19,10 +19,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-UNITS, CHUNK, LANES = 8, 128, 8192
+UNITS, CHUNK, LANES = 8, 512, 8192
 PAD = 256
 #: Bytes from which a lane's first state is guessed, and how far off a guess may be.
-WARM, EXACT = 48, 1e-4
+WARM, EXACT = 256, 1e-3
 #: The classifier is fitted on at most about so many documents, shared equally by the languages, PIECES pieces of each.
 TRAIN_DOCS, PIECES = 3000, 6
 TRAIN_LENGTH, TRAIN_LANES, STEPS, SPEED = 64, 512, 360, 0.02
@@ -124,8 +124,9 @@ def predict(net: Network, texts: list[bytes]) -> np.ndarray:
     """Mean distribution over the positions of each text: (texts, languages). Empty texts get zeros.
 
     The recurrence runs over the whole text, but CHUNK bytes of a text are a lane, and all lanes run side by side: a lane starts from
-    a guess of the state that its neighbour hands over (what WARM bytes give), and lanes whose guess proves to be off by more than EXACT
-    run again from the state handed over, until none is. At worst, that is one lane after the other; gates forget, so it is few."""
+    a guess of the state that its neighbour hands over (what the WARM bytes at that end give), and lanes whose guess proves to be off by
+    more than EXACT run again from the state handed over, until none is. At worst, that is one lane after the other; gates forget, so
+    it is few. Then all lanes are labelled once, from their right states."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     lanes = -(-sizes // CHUNK)
     owner = np.repeat(np.arange(len(texts)), lanes)
@@ -135,30 +136,36 @@ def predict(net: Network, texts: list[bytes]) -> np.ndarray:
     flat = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.repeat(np.cumsum(sizes) - sizes, lanes) + (np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * CHUNK
     end = np.minimum(begin + CHUNK, np.repeat(np.cumsum(sizes), lanes))
-    joined = np.flatnonzero(owner[1:] == owner[:-1])  # lanes that another lane of the text follows
-    zero = np.zeros((UNITS, len(owner)), "f4")
-    before, after, sums = zero.copy(), zero.copy(), np.zeros((len(net.langs), len(owner)), "f4")
-    for k in range(0, len(joined), LANES):
-        at = joined[k : k + LANES]
-        before[:, at + 1] = _run(net, 0, _bytes(flat, end[at] - WARM, end[at]), zero[:, at])
-        after[:, at] = _run(net, 1, _bytes(flat, begin[at + 1], np.minimum(begin[at + 1] + WARM, end[at + 1])), zero[:, at])
-    redo = np.arange(len(owner))
-    while len(redo):
-        left, right = np.empty((UNITS, len(redo)), "f4"), np.empty((UNITS, len(redo)), "f4")
-        for k in range(0, len(redo), LANES):
-            at = redo[k : k + LANES]
-            sums[:, at], left[:, k : k + LANES], right[:, k : k + LANES] = _lanes(net, _bytes(flat, begin[at], end[at]), before[:, at], after[:, at])
-        wrong = np.zeros(len(owner), bool)
-        for states, handed, to in ((before, right, 1), (after, left, -1)):
-            ok = (redo + to >= 0) & (redo + to < len(owner))
-            ok[ok] = owner[redo[ok] + to] == owner[redo[ok]]
-            target, state = redo[ok] + to, handed[:, ok]
-            off = np.abs(states[:, target] - state).max(0) > EXACT
-            states[:, target[off]] = state[:, off]
-            wrong[target[off]] = True
-        redo = np.flatnonzero(wrong)
-    for j in range(len(net.langs)):
-        total[:, j] = np.bincount(owner, sums[j], len(texts))
+    next_ = np.append(owner[1:] == owner[:-1], False)  # lanes that another lane of the text follows
+
+    def settled(d: int) -> np.ndarray:
+        """The state that direction d has where each lane begins."""
+        gives, to = (next_, 1) if d == 0 else (np.append(False, next_[:-1]), -1)
+        states = np.zeros((UNITS, len(owner)), "f4")
+        todo = np.flatnonzero(gives)
+        for k in range(0, len(todo), LANES):
+            at = todo[k : k + LANES]
+            ends = (end[at] - WARM, end[at]) if d == 0 else (begin[at], np.minimum(begin[at] + WARM, end[at]))
+            states[:, at + to] = _run(net, d, _bytes(flat, *ends), np.zeros((UNITS, len(at)), "f4"))
+        while len(todo):
+            wrong = []
+            for k in range(0, len(todo), LANES):
+                at = todo[k : k + LANES]
+                handed = _run(net, d, _bytes(flat, begin[at], end[at]), states[:, at])
+                off = np.abs(states[:, at + to] - handed).max(0) > EXACT
+                wrong.append((at[off] + to, handed[:, off]))
+            for at, handed in wrong:
+                states[:, at] = handed
+            todo = np.concatenate([at for at, _ in wrong])
+            todo = np.sort(todo[gives[todo]])
+        return states
+
+    before, after = settled(0), settled(1)
+    for k in range(0, len(owner), LANES):
+        at = slice(k, k + LANES)
+        sums = _lanes(net, _bytes(flat, begin[at], end[at]), before[:, at], after[:, at])
+        for j in range(len(net.langs)):
+            total[:, j] += np.bincount(owner[at], sums[j], len(texts))
     return total / np.maximum(sizes, 1)[:, None]
 
 
@@ -198,15 +205,15 @@ def _run(net: Network, d: int, x: np.ndarray, state: np.ndarray) -> np.ndarray:
     return s
 
 
-def _lanes(net: Network, x: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sum of the distributions over the positions of each lane, (languages, lanes), and the states handed to the left and to the right."""
+def _lanes(net: Network, x: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Sum of the distributions over the positions of each lane: (languages, lanes)."""
     steps, b = x.shape
     step = _Step(net, b)
     forward, s = np.empty((steps, UNITS, b), "f4"), before.copy()
     for t in range(steps):
         step(0, x[t], s)
         forward[t] = s
-    right, s = s, after.copy()
+    s = after.copy()
     sums = np.zeros((len(net.langs), b), "f4")
     for t in reversed(range(steps)):
         step(1, x[t], s)
@@ -217,7 +224,7 @@ def _lanes(net: Network, x: np.ndarray, before: np.ndarray, after: np.ndarray) -
         np.exp(p, out=p)
         p *= (x[t] != PAD) / p.sum(0)
         sums += p
-    return sums, s, right
+    return sums
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -99,7 +99,7 @@ def test_language_states_run_through_the_text(hold):
     """Lanes side by side give what one loop over the whole text gives, also with gates that hold a state for long."""
     net = langid._fresh(["a", "b"], np.random.default_rng(2))
     net.table[:, : langid.UNITS] -= hold * (np.arange(257) % 50 != 0)  # most bytes then leave the state as it is
-    text = bytes(np.random.default_rng(3).integers(0, 255, 1000).astype("u1"))
+    text = bytes(np.random.default_rng(3).integers(0, 255, 3000).astype("u1"))
     total, states = np.zeros(2), []
     for d, seq in ((0, text), (1, text[::-1])):
         h, out = np.zeros(langid.UNITS), []
@@ -112,8 +112,8 @@ def test_language_states_run_through_the_text(hold):
     for f, b in zip(*states):
         p = np.exp(net.out[0] @ f + net.out[1] @ b + net.bias[:, 0])
         total += p / p.sum()
-    got = langid.predict(net, [b"", text, b"x", text[:128], text[:129]])
-    assert got[1] == pytest.approx(total / 1000, rel=1e-3) and not got[0].any()
+    got = langid.predict(net, [b"", text, b"x", text[:512], text[:513]])
+    assert got[1] == pytest.approx(total / 3000, rel=1e-3) and not got[0].any()
     assert langid.predict(net, [text])[0] == pytest.approx(got[1], rel=1e-4)
 
 
