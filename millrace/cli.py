@@ -15,8 +15,6 @@ from . import __version__
 from .engine import Engine
 from .errors import EngineError
 
-log = logging.getLogger("millrace")
-
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="millrace", description=__doc__.splitlines()[0])
@@ -43,7 +41,7 @@ def _session():
     return SparkSession.builder.appName("millrace").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def main(argv: list[str] | None = None, spark=None, out=None) -> int:
+def main(argv: list[str] | None = None, spark=None, out=None, stdin=None) -> int:
     a, out = parser().parse_args(argv), out or sys.stdout
     logging.basicConfig(level=logging.INFO if a.verbose else logging.WARNING, format="%(asctime)s %(levelname)s %(message)s")
     if a.c or a.cc:
@@ -65,7 +63,7 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
         names = sorted(p.name.removesuffix(".parquet") for p in Path(a.data).glob("*.parquet"))
         engine.register_folder(a.data, *[x for x in names if x not in engine.tables()])
     if a.r:
-        return _prompt(engine, out)
+        return _prompt(engine, out, stdin or sys.stdin)
     if a.q:
         text = a.q
     elif a.fb:
@@ -91,12 +89,11 @@ def _run(engine: Engine, text: str, out) -> bool:
             print("\t".join(result.columns), file=out)
             for row in result.toLocalIterator():
                 print("\t".join("NULL" if v is None else str(v) for v in row), file=out)
-        log.info("%s", type(s).__name__)
     return failed
 
 
-def _prompt(engine: Engine, out) -> int:
-    for line in sys.stdin:
+def _prompt(engine: Engine, out, stdin) -> int:
+    for line in stdin:
         if line.strip().lower() in ("exit", "quit"):
             break
         try:

@@ -29,8 +29,8 @@ def summary(df: DataFrame, column: str) -> DataFrame:
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Rows of child whose value has no match in parent; null refers to nothing and is no orphan."""
-    keys = parent.select(F.col(f"`{parent_column}`").alias("__key"))
-    return child.filter(F.col(f"`{column}`").isNotNull()).join(keys, F.col(f"`{column}`") == F.col("__key"), "left_anti")
+    c, p = child.filter(F.col(f"`{column}`").isNotNull()).alias("c"), parent.select(F.col(f"`{parent_column}`").alias("key")).alias("p")
+    return c.join(p, F.col(f"c.`{column}`") == F.col("p.key"), "left_anti")
 
 
 def violations(df: DataFrame, not_null: list[str], unique: list[str], added: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..plans.parser import PERMISSIONS
+from . import relational
 
 GLOBAL = ""
 
@@ -31,6 +32,16 @@ def merged(grants: DataFrame) -> DataFrame:
     return grants.groupBy("usr").agg(F.bit_or("mask").alias("mask"))
 
 
+def visible(df: DataFrame, rows=None, columns: list[str] | None = None) -> DataFrame:
+    """What a row and column permission leaves of a table: rows for which the condition is true, other columns than these as null."""
+    if rows is not None:
+        df = relational.where(df, rows)
+    if columns is None:
+        return df
+    shown = {c.lower() for c in columns}
+    return df.select(*[F.col(f"`{f.name}`") if f.name.lower() in shown else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+
+
 class Users:
     """Users, their passwords (scrypt with a salt of their own) and their permissions."""
 
@@ -39,6 +50,7 @@ class Users:
         self.acl: dict[str, dict[str, int]] = {}
         self.current: str | None = None
         self.owner: str | None = None
+        self.views: dict[str, dict[str, tuple[str | None, list[str] | None]]] = {}  # user: table: rows and columns that may be seen
 
     @staticmethod
     def _hash(password: str, salt: bytes) -> bytes:
@@ -53,9 +65,38 @@ class Users:
     def remove(self, name: str) -> None:
         self.secrets.pop(name, None)
         self.acl.pop(name, None)
+        self.views.pop(name, None)
+        if self.owner == name:
+            self.owner = None
         if self.current == name:
             self.current = None
 
+    def set_owner(self, name: str) -> None:
+        """The user whom nothing is denied, and who alone changes tables' definitions and others' permissions. There is none by default."""
+        if name not in self.secrets:
+            raise EngineError(f"no user {name}")
+        self.owner = name
+
+    def set_current(self, name: str | None) -> None:
+        """Acts as a user without a password (the embedding program's choice); None: as the program itself."""
+        if name is not None and name not in self.secrets:
+            raise EngineError(f"no user {name}")
+        self.current = name
+
+    def owns(self) -> bool:
+        """Whether definitions and permissions may be changed: by the owner, or by the program itself when nobody is logged in."""
+        return self.current is None or self.current == self.owner
+
+    def restrict(self, user: str, table: str, rows: str | None = None, columns: list[str] | None = None) -> None:
+        """What the user sees of a table: rows that meet a condition of the engine's grammar, these columns only. None: all."""
+        self.views.setdefault(user, {})[table.lower()] = (rows, columns)
+
+    def view(self, table: str) -> tuple[str | None, list[str] | None]:
+        """Restriction of the current user on a table."""
+        if self.current is None or self.current == self.owner:
+            return None, None
+        return self.views.get(self.current, {}).get(table.lower(), (None, None))
+
     def login(self, name: str, password: str) -> bool:
         salt, want = self.secrets.get(name, (b"", b""))
         if want and hmac.compare_digest(self._hash(password, salt), want):

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans import expressions as ex
 from ..plans.parser import parse_expression
@@ -54,24 +55,40 @@ def window(df: DataFrame, limit: int | None = None, offset: int | None = None) -
     return df if limit is None else df.limit(limit)
 
 
-def join(left: DataFrame, right: DataFrame, cond: str | Callable[[DataFrame, DataFrame], Column]) -> DataFrame:
+def join(left: DataFrame, right: DataFrame, cond: str | Callable[[DataFrame, DataFrame], Column] | object) -> DataFrame:
     """Inner join on any condition; of columns with one name the right one stays. Row order is not kept.
 
-    cond is a text in which names are looked up in the right table first, or a function of the two DataFrames. Equalities become hash or
-    sort-merge joins, of which Spark picks by size; others compare all rows.
+    cond is a text (or its expression) in which names are looked up in the right table first, or a function of the two DataFrames.
+    Equalities become hash or sort-merge joins, of which Spark picks by size; others compare all rows.
     """
     here = {c.lower() for c in right.columns}
-    l = left.select(*[F.col(f"`{c}`").alias(f"__l_{c}") for c in left.columns])
-    if isinstance(cond, str):
-        plain = [F.col(f"`__l_{c}`").alias(c) for c in left.columns if c.lower() not in here]
-        l2 = l.select(*plain, *[f"`__l_{c}`" for c in left.columns if c.lower() in here])
-        both = l2.schema.fields + right.schema.fields
-        from pyspark.sql import types as T
-
-        return l2.join(right, ex.predicate(parse_expression(cond), T.StructType(both)), "inner").select(*[c for c in left.columns if c.lower() not in here], *right.columns)
+    kept = [c for c in left.columns if c.lower() not in here]
+    if not callable(cond):
+        l = left.select(*[F.col(f"`{c}`") for c in kept])  # a name of both sides means the right one, so the left one is not needed
+        node = parse_expression(cond) if isinstance(cond, str) else cond
+        joined = l.join(right, ex.predicate(node, T.StructType(l.schema.fields + right.schema.fields)), "inner")
+        return joined.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`") for c in right.columns])
     la, ra = left.alias("l"), right.alias("r")
     joined = la.join(ra, cond(_Side("l", left), _Side("r", right)), "inner")
-    return joined.select(*[F.col(f"l.`{c}`") for c in left.columns if c.lower() not in here], *[F.col(f"r.`{c}`") for c in right.columns])
+    return joined.select(*[F.col(f"l.`{c}`") for c in kept], *[F.col(f"r.`{c}`") for c in right.columns])
+
+
+def join_rows(left: DataFrame, right: DataFrame, predicate: Callable) -> DataFrame:
+    """join() with a Python predicate over two rows: the slow way, which compares all rows one by one in Python. A condition that can be
+    a column belongs into join()."""
+    both = F.udf(predicate, "boolean")
+    side = lambda s, df: F.struct(*[s[c].alias(c) for c in df.columns])
+    return join(left, right, lambda l, r: both(side(l, left), side(r, right)))
+
+
+def upsert(df: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """df with rows put in by key: those of a known key take its place. Keys occur once in rows. Null keys are never known."""
+    return df.join(rows.select(key), key, "left_anti").select(*df.columns).unionByName(rows)
+
+
+def remove(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """df without the rows whose key is among keys (one column of the same name)."""
+    return df.join(keys, key, "left_anti").select(*df.columns)
 
 
 class _Side:

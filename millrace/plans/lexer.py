@@ -14,14 +14,14 @@ KEYWORDS = frozenset(
     "PRIMARY KEY NOT NULL UNIQUE AUTO_INCREMENT DEFAULT AND OR TRUE FALSE IS JOIN".split()
 )
 _TOKEN = re.compile(
-    r"""(?P<blank>\s+)|(?P<number>\d+(?:\.\d+)?)|(?P<string>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<word>[^\W\d]\w*)|(?P<op>==|!=|<>|<=|>=|[-+*/%=<>(),;.])""",
+    r"""(?P<blank>\s+)|(?P<number>\d+(?:\.\d+)?)|(?P<string>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<variable>@[^\W\d]\w*)|(?P<word>[^\W\d]\w*)|(?P<op>==|!=|<>|<=|>=|[-+*/%=<>(),;.])""",
     re.S,
 )
 
 
 @dataclass(frozen=True)
 class Token:
-    kind: str  # keyword, word, number, string, op, end
+    kind: str  # keyword, word, variable, number, string, op, end
     text: str
     position: int
 

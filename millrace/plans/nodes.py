@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass, replace
+
+from ..errors import EngineError
 
 
 @dataclass(frozen=True)
@@ -16,6 +18,11 @@ class Name:
     name: str
 
 
+@dataclass(frozen=True)
+class Variable:
+    name: str
+
+
 @dataclass(frozen=True)
 class Binary:
     op: str
@@ -93,9 +100,38 @@ class Delete:
     where: object = None
 
 
+@dataclass(frozen=True)
+class Assign:
+    name: str
+    value: object
+
+
 @dataclass(frozen=True)
 class Grant:
     permission: str
     table: str
     user: str
     revoke: bool = field(default=False)
+
+
+def bound(node, variables: dict[str, object]):
+    """node with the variables that it names replaced by their values."""
+    if isinstance(node, Variable):
+        if node.name not in variables:
+            raise EngineError(f"no variable @{node.name}")
+        value = variables[node.name]
+        return Literal(value, "" if value is None else str(value))
+    if isinstance(node, tuple):
+        return tuple(bound(x, variables) for x in node)
+    if is_dataclass(node):
+        return replace(node, **{f.name: bound(getattr(node, f.name), variables) for f in fields(node)})
+    return node
+
+
+def names_in(node) -> set[str]:
+    """Columns that an expression reads."""
+    if isinstance(node, Name):
+        return {node.name}
+    if isinstance(node, tuple):
+        return set().union(*(names_in(x) for x in node), set())
+    return set().union(*(names_in(getattr(node, f.name)) for f in fields(node)), set()) if is_dataclass(node) else set()

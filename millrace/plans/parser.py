@@ -83,6 +83,8 @@ class Parser:
             return n.Literal(t.text, t.text)
         if t.kind == "word":
             return n.Name(t.text)
+        if t.kind == "variable":
+            return n.Variable(t.text[1:])
         if t.is_("NULL", "TRUE", "FALSE"):
             return n.Literal({"NULL": None, "TRUE": True, "FALSE": False}[t.text], t.text)
         raise ParseError(f"expected an expression, found {t.text or 'the end'!r}", t.position)
@@ -91,7 +93,7 @@ class Parser:
 
     def statement(self):
         t = self.take()
-        kind = {"CREATE": self.create, "DROP": self.drop, "SELECT": self.select, "INSERT": self.insert, "UPDATE": self.update, "DELETE": self.delete, "GRANT": self.grant, "REVOKE": self.revoke}.get(t.text if t.kind == "keyword" else "")
+        kind = {"CREATE": self.create, "DROP": self.drop, "SELECT": self.select, "INSERT": self.insert, "UPDATE": self.update, "DELETE": self.delete, "GRANT": self.grant, "REVOKE": self.revoke, "SET": self.assign}.get(t.text if t.kind == "keyword" else "")
         if kind is None:
             raise ParseError(f"unknown statement {t.text or 'the end'!r}", t.position)
         out = kind()
@@ -206,6 +208,13 @@ class Parser:
         self.expect("FROM")
         return n.Delete(self.name(), self.expression() if self.accept("WHERE") else None)
 
+    def assign(self):
+        if self.now.kind != "variable":
+            raise ParseError(f"expected a variable, found {self.now.text or 'the end'!r}", self.now.position)
+        name = self.take().text[1:]
+        self.expect("=")
+        return n.Assign(name, self.expression())
+
     def grant(self, revoke: bool = False):
         t = self.take()
         if t.text.upper() not in PERMISSIONS or t.kind not in ("word", "keyword"):

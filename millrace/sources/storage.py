@@ -1,20 +1,23 @@
 """Committed databases: one Parquet folder a table and version, and a JSON manifest; exports; encrypted columns.
 
 Files are reached through Hadoop's file systems, so any store that Spark writes works. A commit writes new folders, then a new
-manifest; the old version stays readable until then, and nothing is overwritten that a plan may still read.
+manifest under the next number; the highest number counts, so a commit is there as a whole or not at all, and nothing is overwritten that
+a plan may still read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import decrypt, encrypt
 
-MANIFEST = "manifest.json"
+MANIFEST = "manifest-{}.json"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -34,7 +37,7 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes beside path first and then puts it in place."""
+    """A new file: written beside path and then renamed, so that it is never there in part. Raises if path exists."""
     fs, p = _fs(spark, path)
     _, draft = _fs(spark, f"{path}.{uuid.uuid4().hex}")
     stream = fs.create(draft, True)
@@ -42,28 +45,50 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(draft, p):
-        raise OSError(f"could not write {path}")
+    if fs.exists(p) or not fs.rename(draft, p):
+        fs.delete(draft, False)
+        raise OSError(f"could not write {path}: it exists")
 
 
-def write_table(df: DataFrame, root: str, name: str, *, order: str | None = None, codec: str = "zstd") -> str:
-    """A new folder under root; rows laid out by `order` if given, so that look-ups on it skip files."""
+def write_table(df: DataFrame, root: str, name: str, *, order: list[str] | None = None, codec: str = "zstd", key: str | None = None) -> str:
+    """A new folder under root. Rows are laid out by the first column of `order`, so that look-ups on it skip files, and files hold Bloom
+    filters of the others, so that those for one value do. With a key, every column is encrypted."""
     folder = f"{name}-{uuid.uuid4().hex}"
-    if order:
-        df = df.repartitionByRange(order).sortWithinPartitions(order)
-    df.write.option("compression", codec).parquet(f"{root}/{folder}")
+    first, *others = order or [None]
+    if first:
+        df = df.repartitionByRange(first).sortWithinPartitions(first)
+    if key:
+        df = sealed_rows(df, key)
+    write = df.write.option("compression", codec)
+    for c in [] if key else others:
+        write = write.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    write.parquet(f"{root}/{folder}")
     return folder
 
 
+def read_table(spark: SparkSession, path: str, schema: T.StructType, key: str | None = None) -> DataFrame:
+    return opened_rows(spark.read.parquet(path), schema, key) if key else spark.read.schema(schema).parquet(path)
+
+
+def manifests(spark: SparkSession, root: str) -> list[int]:
+    """Versions of the manifest, ascending."""
+    fs, p = _fs(spark, root)
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(m[1]) for x in names if (m := re.fullmatch(MANIFEST.replace("{}", r"(\d+)").replace(".", r"\."), x)))
+
+
 def save_manifest(spark: SparkSession, root: str, data: dict) -> None:
-    write_text(spark, f"{root}/{MANIFEST}", json.dumps(data))
+    """The next version. The one before stays until this one is in place; of two commits at a time, the second fails."""
+    old = manifests(spark, root)
+    write_text(spark, f"{root}/{MANIFEST.format((old or [0])[-1] + 1)}", json.dumps(data))
+    for v in old[:-1]:
+        fs, p = _fs(spark, f"{root}/{MANIFEST.format(v)}")
+        fs.delete(p, False)
 
 
 def load_manifest(spark: SparkSession, root: str) -> dict | None:
-    text = read_text(spark, f"{root}/{MANIFEST}")
-    return None if text is None else json.loads(text)
+    old = manifests(spark, root)
+    return json.loads(read_text(spark, f"{root}/{MANIFEST.format(old[-1])}")) if old else None
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -90,3 +115,16 @@ def sealed(df: DataFrame, columns: list[str], key: str) -> DataFrame:
 
 def opened(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     return df.withColumns({c: decrypt(F.col(f"`{c}`"), key) for c in columns})
+
+
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def sealed_rows(df: DataFrame, key: str) -> DataFrame:
+    """df with every column encrypted, of any type."""
+    return df.select(*[F.aes_encrypt(F.to_json(F.struct(F.col(f"`{c}`").alias("v")), _JSON), F.lit(key), F.lit("GCM")).alias(c) for c in df.columns])
+
+
+def opened_rows(df: DataFrame, schema: T.StructType, key: str) -> DataFrame:
+    plain = lambda f: F.aes_decrypt(F.col(f"`{f.name}`"), F.lit(key), F.lit("GCM")).cast("string")
+    return df.select(*[F.from_json(plain(f), T.StructType([T.StructField("v", f.dataType)]), _JSON)["v"].alias(f.name) for f in schema])
