@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 OPEN, CLOSE, HEAD, BODY = "<s>", "</s>", "[INST]", "[/INST]"
 CONTROL = (OPEN, CLOSE, HEAD, BODY)
 ESCAPES = (("&", "&amp;"), ("<s>", "&lt;s>"), ("</s>", "&lt;/s>"), ("[INST]", "&lb;INST]"), ("[/INST]", "&lb;/INST]"))
@@ -84,22 +86,17 @@ def _plain(parsed: Column) -> Column:
 
 def _spans(pieces: Column) -> Column:
     """Start and length, in code points, of each body under the loss mask."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,len:int>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.char_length(p["head"])
-        span = F.array(F.struct(start.alias("start"), F.char_length(p["body"]).alias("len")))
-        return F.struct((start + F.char_length(p["body"]) + len(CLOSE)).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
+    begin = common.scan(F.transform(pieces, lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + len(CLOSE)), F.lit(0), "int", lambda at, n: at + n)
+    under = lambda ends: F.transform(pieces, lambda p, i: F.when(p["loss"], F.struct((F.get(ends, i) - len(CLOSE) - F.char_length(p["body"])).alias("start"), F.char_length(p["body"]).alias("len"))))
+    return common.let(begin, lambda ends: F.filter(under(ends), lambda s: s.isNotNull()))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> (conv_id, formatted, loss_spans), one row a conversation, turns in order of turn.
 
     Null text or role counts as empty; null turns come first; equal turns are ordered by role, then text, and repeated rows stay.
-    A null conv_id is one conversation. Other columns are ignored. An empty table gives an empty result. A conversation is one
-    row of the output and so must fit in a row (2 GB).
+    A null conv_id is one conversation. Other columns are ignored, whatever their names. An empty table gives an empty result. Texts of
+    any length are taken whole; a conversation is one row of the output and so must fit in a row (2 GB).
     """
     c = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     c = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "text"))).alias("rows"))

@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 
+#: Items of a chunk of scan().
+CHUNK = 256
 #: Small tables up to this many rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
 
@@ -161,3 +163,23 @@ def n_words(text: Column) -> Column:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scan(items: Column, zero: Column, kind: str, step) -> Column:
+    """The states after each item. Arrays grow by copying, so they are kept short: CHUNK states, then one entry a chunk."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK)))
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(state: Column, chunk: Column) -> Column:
+        return F.aggregate(chunk, F.struct(state.alias("s"), none.alias("out")), lambda b, x: let(step(b["s"], x), lambda n: F.struct(n.alias("s"), F.concat(b["out"], F.array(n)).alias("out"))))
+
+    def outer(a: Column, chunk: Column) -> Column:
+        return let(inner(a["s"], chunk), lambda done: F.struct(done["s"].alias("s"), F.concat(a["out"], F.array(done["out"])).alias("out")))
+
+    start = F.struct(zero.cast(kind).alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(chunks, start, outer, lambda a: a["out"]))).otherwise(none)

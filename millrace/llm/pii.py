@@ -7,7 +7,7 @@ Boosted trees score each by format and context; a kind's threshold is calibrated
 alarms. No table labels personal data, so the trees are trained here, on made examples (N_TRAIN of them, fixed seed); they become one
 expression. Generated spans that overlap a base span or a better one that is kept are dropped.
 
-Work grows with the length of a text and its number of candidates: running sums and states go by chunks of CHUNK items, and spans
+Work grows with the length of a text and its number of candidates: running sums and states go by chunks (common.scan), and spans
 are compared within a run of overlapping ones only.
 """
 
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
-CHUNK = 256
 MARK, MARK_FREE = chr(0xE000), chr(0xE001)  # private use; neither matches any pattern here
 #: Every base ip, card or phone holds this; most texts do not.
 NUMERIC = r"[0-9][0-9 ().+/-]{5,}[0-9]"
@@ -79,26 +78,6 @@ def _luhn(m: Column) -> Column:
     return (F.char_length(d) > 0) & (total % 10 == 0)
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _scan(items: Column, zero: Column, kind: str, step) -> Column:
-    """The states after each item. Arrays grow by copying, so they are kept short: CHUNK states, then one entry a chunk."""
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK)))
-    none = F.array().cast(f"array<{kind}>")
-
-    def inner(state: Column, chunk: Column) -> Column:
-        return F.aggregate(chunk, F.struct(state.alias("s"), none.alias("out")), lambda b, x: _let(step(b["s"], x), lambda n: F.struct(n.alias("s"), F.concat(b["out"], F.array(n)).alias("out"))))
-
-    def outer(a: Column, chunk: Column) -> Column:
-        return _let(inner(a["s"], chunk), lambda done: F.struct(done["s"].alias("s"), F.concat(a["out"], F.array(done["out"])).alias("out")))
-
-    start = F.struct(zero.cast(kind).alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
-    return F.when(F.size(items) > 0, F.flatten(F.aggregate(chunks, start, outer, lambda a: a["out"]))).otherwise(none)
-
-
 def _span(start: Column, end: Column, kind: int, m: Column, before: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(kind).alias("kind"), m.alias("m"), before.alias("before"))
 
@@ -108,9 +87,9 @@ FOUND = "array<struct<start:int,end:int,kind:int,m:string,before:string>>"
 
 def _found(pieces: Column, kind: int) -> Column:
     """Spans of the odd pieces of a text that was split at marks, with the end of the piece before."""
-    ends = _scan(F.transform(pieces, F.char_length), F.lit(0), "int", lambda s, n: s + n)
+    ends = common.scan(F.transform(pieces, F.char_length), F.lit(0), "int", lambda s, n: s + n)
     odd = F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2))
-    return _let(ends, lambda e: F.transform(odd, lambda i: _span(F.get(e, i - 1), F.get(e, i), kind, F.get(pieces, i), F.right(F.get(pieces, i - 1), F.lit(CONTEXT)))))
+    return common.let(ends, lambda e: F.transform(odd, lambda i: _span(F.get(e, i - 1), F.get(e, i), kind, F.get(pieces, i), F.right(F.get(pieces, i - 1), F.lit(CONTEXT)))))
 
 
 def _matches(d: DataFrame, t: str, p: str, name: str, gate: Column, pattern: str, kind: int) -> DataFrame:
@@ -131,13 +110,13 @@ def _emails(d: DataFrame, t: str, p_: str, name: str) -> DataFrame:
         return F.when(F.contains(run, F.lit(".")), run).otherwise(F.lit(""))
 
     # the piece, its length, and those of its local part and of its host
-    d = d.withColumn(p_, F.transform(p_, lambda s: _let(host(s), lambda h: F.struct(s.alias("s"), F.char_length(s).alias("n"), F.char_length(F.regexp_extract(s, local, 0)).alias("local"), F.char_length(h).alias("host"), h.alias("name")))))
+    d = d.withColumn(p_, F.transform(p_, lambda s: common.let(host(s), lambda h: F.struct(s.alias("s"), F.char_length(s).alias("n"), F.char_length(F.regexp_extract(s, local, 0)).alias("local"), F.char_length(h).alias("host"), h.alias("name")))))
     d = d.withColumn(p_, F.zip_with(p_, F.slice(p_, F.lit(2), F.size(p_)), lambda x, y: F.struct(x.alias("x"), F.coalesce(y["host"], F.lit(0)).alias("next"), y["name"].alias("name"))))
     p = F.col(p_)
-    ends = _scan(F.transform(p, lambda q: q["x"]["n"] + 1), F.lit(0), "int", lambda s, n: s + n)
+    ends = common.scan(F.transform(p, lambda q: q["x"]["n"] + 1), F.lit(0), "int", lambda s, n: s + n)
     # state: the first free place of the piece after a match, or -1; a match takes the host at the start of the next piece
     begin = lambda s, q: F.greatest(q["x"]["n"] - q["x"]["local"], F.when(s >= 0, s).otherwise(0))
-    free = _scan(p, F.lit(-1), "int", lambda s, q: F.when((q["next"] > 0) & (begin(s, q) < q["x"]["n"]), q["next"]).otherwise(F.lit(-1)))
+    free = common.scan(p, F.lit(-1), "int", lambda s, q: F.when((q["next"] > 0) & (begin(s, q) < q["x"]["n"]), q["next"]).otherwise(F.lit(-1)))
 
     def spans(e: Column, f: Column) -> Column:
         hits = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.get(f, i) >= 0)
@@ -150,7 +129,7 @@ def _emails(d: DataFrame, t: str, p_: str, name: str) -> DataFrame:
 
         return F.transform(hits, one)
 
-    found = _let(F.struct(ends.alias("e"), free.alias("f")), lambda x: spans(x["e"], x["f"]))
+    found = common.let(F.struct(ends.alias("e"), free.alias("f")), lambda x: spans(x["e"], x["f"]))
     return d.withColumn(name, F.when(F.size(p_) > 1, found).otherwise(F.array().cast(FOUND))).drop(p_)
 
 
@@ -339,9 +318,9 @@ def _chosen(scored: Column) -> Column:
 
     def runs(x: Column, reach: Column) -> Column:
         heads = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i)["a"] >= F.get(reach, i - 1)))
-        return _let(heads, lambda h: F.flatten(F.transform(h, lambda i, k: greedy(F.slice(x, i + 1, F.coalesce(F.get(h, k + 1), F.size(x)) - i)))))
+        return common.let(heads, lambda h: F.flatten(F.transform(h, lambda i, k: greedy(F.slice(x, i + 1, F.coalesce(F.get(h, k + 1), F.size(x)) - i)))))
 
-    chosen = _let(by_start, lambda x: _let(_scan(F.transform(x, lambda s: s["z"]), F.lit(0), "int", lambda s, z: F.greatest(s, z)), lambda reach: runs(x, reach)))
+    chosen = common.let(by_start, lambda x: common.let(common.scan(F.transform(x, lambda s: s["z"]), F.lit(0), "int", lambda s, z: F.greatest(s, z)), lambda reach: runs(x, reach)))
     return F.when(F.size(scored) > 0, chosen).otherwise(none)
 
 
@@ -367,7 +346,7 @@ def find(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         return total
 
     limits = F.array(*[F.lit(thresholds[k]) for k in KINDS])
-    scored = F.transform(F.concat(*made), lambda c: _let(_features(c, c["before"]), lambda f: F.struct(score(f).alias("score"), c.alias("c"))))
+    scored = F.transform(F.concat(*made), lambda c: common.let(_features(c, c["before"]), lambda f: F.struct(score(f).alias("score"), c.alias("c"))))
     scored = F.filter(scored, lambda x: x["score"] > F.get(limits, x["c"]["kind"]))
     base = F.transform(F.concat(*four), lambda c: F.struct(F.lit(None).cast("double").alias("score"), c.alias("c")))
     d = d.withColumn(all_, F.when(F.size(F.concat(*made)) > 0, F.concat(base, scored)).otherwise(base))
@@ -386,7 +365,7 @@ def redact(text: Column, spans: Column) -> Column:
     """text with each span replaced by its kind in angle brackets; overlapping spans become one replacement, of the first's kind. Null
     text stays null."""
     kinds = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    reach = _scan(F.transform(spans, lambda s: s["end"]), F.lit(0), "int", lambda a, z: F.greatest(a, z))
+    reach = common.scan(F.transform(spans, lambda s: s["end"]), F.lit(0), "int", lambda a, z: F.greatest(a, z))
 
     def pieces(upto: Column) -> Column:
         done = lambda i: F.coalesce(F.get(upto, i - 1), F.lit(0))
@@ -394,4 +373,4 @@ def redact(text: Column, spans: Column) -> Column:
         rest = F.substring(text, F.element_at(upto, -1) + 1, F.char_length(text))
         return F.concat(F.array_join(F.transform(spans, one), ""), rest)
 
-    return F.when(F.size(spans) > 0, _let(reach, pieces)).otherwise(text)
+    return F.when(F.size(spans) > 0, common.let(reach, pieces)).otherwise(text)

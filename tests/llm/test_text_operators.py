@@ -16,13 +16,62 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import bpe, chat, langid, mixing, pii, quality, queries, token_files
+from millrace.llm import bpe, chat, common, langid, mixing, ngram_join, pii, quality, queries, substring, token_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")
 HARD = [None, "", " ", "a", "it's é😀 10% \n\n  x", "x" * 3000, "'ll 're\n's", "<|endoftext|> <s>[INST]", "é" * 60 + "1 2\t3", "word " * 4000]
 
 
+def test_shared_folder(spark, monkeypatch):
+    """spark.checkpoint.dir as it is set; without it, a folder of this process in a local session and an error on a cluster."""
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master, held = "spark://host:7077", None
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    class Context:
+                        @staticmethod
+                        def getCheckpointDir():
+                            class Held:
+                                isDefined = staticmethod(lambda: Bare.sparkContext.held is not None)
+                                get = staticmethod(lambda: Bare.sparkContext.held)
+
+                            return Held
+
+                    return Context
+
+            @staticmethod
+            def setCheckpointDir(path):
+                Bare.sparkContext.held = f"{path}/some-id"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Bare)
+    Bare.sparkContext.master = "local[4]"
+    assert common.shared_dir(Bare).startswith("file:///") and common.shared_dir(Bare) == common.shared_dir(Bare)
+
+
+def test_settings_and_folders_of_a_step(spark):
+    """A step leaves no setting changed, and its folder goes when it is discarded."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, batch = spark.conf.get(name), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    done = common.cut(spark.range(10).groupBy("id").count())
+    assert done.count() == 10 and spark.conf.get(name) == before and done.cut_path in common._made
+    langid.identify(spark.createDataFrame([("x",)], "text string"), None).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+    common.discard(done)
+    assert done.cut_path not in common._made
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        spark.read.parquet(done.cut_path)
+
+
 def test_bpe_is_tiktoken(spark):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(MULTI), special_tokens={})
     df = spark.createDataFrame(list(enumerate(HARD)), "doc_id int, text string").withColumn("ids", F.lit("clash"))
@@ -180,6 +229,34 @@ def test_mixing_is_unequal(spark):
     assert 1.2 < long <= 2 and short == pytest.approx(long / 4, rel=0.15) and {(x.of, x["class"], x.u, x.p) for x in got} == {(1, 2, 3, 4)}
 
 
+def test_very_long_texts(spark):
+    """Texts of many thousand words, in the operators that take whole texts."""
+    r = random.Random(6)
+    words = [f"wort{i}" for i in range(5000)]
+    long = " ".join(r.choice(words) for _ in range(60_000))
+    near = long.replace("wort17 ", "anders ")
+    docs = spark.createDataFrame([(1, long, "de", "a"), (2, near, "de", "a"), (3, "short text here", "en", "a")], "doc_id long, text string, lang string, source string")
+    net = langid.fit(docs)
+    assert all(0 < x.score <= 1 for x in langid.identify(docs, net).collect())
+    joined = {x.doc_id: x for x in ngram_join.similar(docs, k=4, percent=85).collect()}
+    assert joined[2].component_id == 1 and joined[2].n_links == 1 and joined[1].n_shingles > 59_000 and joined[3].component_id == 3
+    left = {x.doc_id: x for x in substring.deduplicate(docs).collect()}
+    assert left[1].n_removed == 0 and 0 < left[2].n_removed < 60_000 and left[2].kept == " ".join(w for w, k in zip(near.split(), kept(long, near)) if k)
+    assert {x.doc_id: x.size for x in mixing.mix(docs).collect()} == {1: 60_000, 2: 60_000, 3: 3}
+    chats = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", near + "</s>")], "conv_id int, turn int, role string, text string")
+    x = chat.format_chats(chats).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"), F.col("turns"))).first()
+    assert [t.text for t in x.turns] == [long, near + "</s>"] and x.loss == near + "</s>"
+
+
+def kept(first, second, window=50):
+    a, b = first.split(), second.split()
+    seen, gone = {tuple(a[i : i + window]) for i in range(len(a) - window + 1)}, set()
+    for i in range(len(b) - window + 1):
+        if tuple(b[i : i + window]) in seen:
+            gone.update(range(i, i + window))
+    return [i not in gone for i in range(len(b))]
+
+
 def base_spans(t):
     o = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     o += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
