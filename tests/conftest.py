@@ -18,6 +18,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp())
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='millrace-tests-')}")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
