@@ -197,8 +197,12 @@ def _example(r: random.Random) -> tuple[str, str, str, int]:
             m = f"{word()}{r.choice(['.', '_', ''])}{word()}" + r.choice([f" {o}at{c} ", f"{o}at{c}"]) + word() + r.choice([f" {o}dot{c} ", f"{o}dot{c}", "."]) + r.choice(["com", "org", "net", "de", "fr"])
             if r.random() < 0.2:
                 m = f"{word()} at {word()} dot {r.choice(['com', 'org', 'net'])}"
+            if r.random() < 0.3:
+                m = re.sub(r"\b(at|dot)\b", lambda x: x[0].upper(), m)
+            if r.random() < 0.3:
+                m = re.sub(r"[(\[{](at)[)\]}]", r" \1 ", m) if "dot" in m.lower() else m
         else:
-            m = r.choice([f"{word()} at {word()}. {word()}", f"{word()} at {word()}.{word()}", f"{word()} at {word()} . {word()}"])
+            m = r.choice([f"{word()} at {word()}. {word()}", f"{word()} at {word()}.{word()}", f"{word()} at {word()} . {word()}", word() + " at " + ". ".join(word().title() for _ in range(r.randint(2, 5)))])
     elif kind == "phone":
         if good:
             s = r.choice([" ", "-", "."])
