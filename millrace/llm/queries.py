@@ -235,6 +235,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tokens = common.cut(token_files.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json")), "ids")
     manifest = token_files.write(tokens, token_files.new_folder(spark))
+    common.discard(tokens)
     return token_files.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("codes").alias("ids_crc32"))
 
 
