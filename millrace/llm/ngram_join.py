@@ -3,8 +3,10 @@
 1. Documents with equal shingle sets are one class.
 2. Candidates, exactly: sizes fall into bands, so that linked sets lie in one band or in two that adjoin. In a band, linked sets
    differ in at most D shingles; the hash space is cut into more than D ranges, so linked sets agree in a whole range at least, and
-   two sets that agree in a range of several shingles are hardly ever strangers. Every set sends one signature a range (about 0.4
-   of its shingles at 85 %), for its own band and the next. Signatures that meet are edges, their components the blocks.
+   two sets that agree in a range of several shingles are seldom strangers. Every set sends one signature a range (about 0.5 of its
+   shingles at 85 %), for its own band and the next. There are more ranges than D by a margin, so a linked set meets others in as
+   many: sets that meet too few (that share a passage, say) are out. Signatures of the rest that meet are edges, their components the
+   blocks.
 3. In a block the sets are globally ordered (the most frequent shingle first, so that paths are shared) and stored in a trie. A set
    is looked up by one traversal that carries the overlap of the shared path; a subtree is left as soon as the overlap so far plus
    what can remain of either side misses the bound, and taken whole as soon as the overlap is enough for its largest set. What
@@ -34,7 +36,9 @@ BLOCK_TOKENS = 200_000
 SEND = 1_000_000
 #: Candidate edges name a class by so many bits of its digest: equal ones join blocks, which loses nothing.
 NODE = (1 << 40) - 1
-RECORD = 10
+RECORD = 11
+#: Ranges beyond the most differences, as a share of these: what a linked set must meet at least, but for its empty ranges.
+MARGIN = 0.15
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -64,7 +68,7 @@ class Bands:
         while low < 1 << 40:
             high = low * 100 // percent
             d = 2 * high * (100 - percent) // (100 + percent)
-            agree = 2 + math.ceil(2 * d * math.exp(-percent * low / 100 / d)) if d else 0  # some ranges of the smallest sets are empty
+            agree = 2 + math.ceil((MARGIN + 2 * math.exp(-percent * low / 100 / d / (1 + MARGIN))) * d) if d else 0  # some ranges are empty
             rows.append((low, d + agree, agree))
             low = high + 1
         self.low, self.ranges, self.agree = (np.array(x, np.int64) for x in zip(*rows))
@@ -73,13 +77,15 @@ class Bands:
         return np.searchsorted(self.low, sizes, "right") - 1
 
 
-def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature): linked sets have one in common. Where a difference is impossible, there are none: such sets link if equal only."""
+def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, mark): linked sets have some in common. mark says for which band (own: 0, next: 128) a signature is, plus how many
+    signatures of that mark the set has in common with any that it links with there, at least (up to 127). Where a difference is
+    impossible, there are none: such sets link if equal only."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     begin = np.cumsum(n) - n
     mixed, own = fingerprint.mix(flat), np.repeat(np.arange(len(sets)), n)
-    owners, found = [], []
+    owners, found, marks = [], [], []
     for step in (0, 1):
         g = bands.of(np.maximum(n, 1)) + step
         m = np.where(n > 0, bands.ranges[g], 0)
@@ -94,42 +100,44 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         owners.append(o)
         found.append(fingerprint.mix(sums + label))
         empty = m - np.bincount(o, minlength=len(sets))
+        mark = 128 * step + np.clip(bands.agree[g] - empty, 1, 127)
+        marks.append(mark[o])
         for i in np.flatnonzero((m > 0) & (empty >= bands.agree[g])).tolist():
             # Linked sets may agree in empty ranges only. Both then are here and share a shingle of these first ones in hash order.
             some = sets[i][: n[i] - -(-n[i] * bands.percent // 100) + 1]
             owners.append(np.full(len(some), i))
+            marks.append(np.full(len(some), mark[i]))
             found.append(fingerprint.mix(some ^ np.uint64(g[i] + 3)))
     if not owners:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(owners), np.concatenate(found)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(owners), np.concatenate(found), np.concatenate(marks)
 
 
-def _pack(nodes: np.ndarray, sigs: np.ndarray) -> np.ndarray:
-    """(len, RECORD) bytes: 40 bits of each."""
+def _pack(nodes: np.ndarray, sigs: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """(len, RECORD) bytes: 40 bits of node and signature, 8 of the mark."""
     out = np.empty((len(nodes), RECORD), np.uint8)
     out[:, :5] = nodes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    out[:, 5:] = sigs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    out[:, 5:10] = sigs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    out[:, 10] = marks
     return out
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = np.frombuffer(raw, np.uint8).reshape(-1, RECORD)
     both = np.zeros((2, len(rows), 8), np.uint8)
-    both[0, :, :5], both[1, :, :5] = rows[:, :5], rows[:, 5:]
-    return both[0].view("<i8")[:, 0], both[1].view("<i8")[:, 0]
+    both[0, :, :5], both[1, :, :5] = rows[:, :5], rows[:, 5:10]
+    return both[0].view("<i8")[:, 0], both[1].view("<i8")[:, 0], rows[:, 10].astype(np.int32)
 
 
-def _stars(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct edges from each node to the smallest that shares a signature with it."""
+def _met(nodes: np.ndarray, sigs: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The records, each once, whose signature another node has too."""
     order = np.lexsort((nodes, sigs))
-    nodes, sigs = nodes[order], sigs[order]
-    new = np.concatenate([[True], sigs[1:] != sigs[:-1]])
-    least = nodes[np.flatnonzero(new)][np.cumsum(new) - 1]
-    u, v = nodes[nodes != least], least[nodes != least]
-    order = np.lexsort((v, u))
-    u, v = u[order], v[order]
-    new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])[: len(u)]
-    return u[new], v[new]
+    nodes, sigs, marks = nodes[order], sigs[order], marks[order]
+    new = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (nodes[1:] != nodes[:-1])])
+    nodes, sigs, marks = nodes[new], sigs[new], marks[new]
+    same = sigs[1:] == sigs[:-1]
+    met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    return nodes[met], sigs[met], marks[met]
 
 
 class Trie:
@@ -301,8 +309,8 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
                 ids = [digest(s) for s in sets]
                 fresh = [i for i, d in enumerate(ids) if d not in seen and not seen.add(d)]  # copies within what is sent together
                 ids, sets = np.array([ids[i] for i in fresh], np.int64), [sets[i] for i in fresh]
-                o, s = signatures(sets, bands)
-                held.append((_pack(ids[o] & NODE, s >> np.uint64(24)), ((s & np.uint64(0xFFFFFF)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)))
+                o, s, m = signatures(sets, bands)
+                held.append((_pack(ids[o] & NODE, s >> np.uint64(24), m), ((s & np.uint64(0xFFFFFF)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)))
                 size += len(s)
                 if size >= SEND:
                     yield send()
@@ -314,8 +322,8 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
         held, bucket = [], None
 
         def solve():
-            u, v = _stars(*_unpack(b"".join(held)))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            node, sig, mark = _met(*_unpack(b"".join(held)))
+            return pa.RecordBatch.from_arrays([pa.array(sig | bucket << 40), pa.array(node), pa.array(mark)], names=["place", "node", "mark"])
 
         for b in batches:
             for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -328,7 +336,14 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
             yield solve()
 
     dealt = keyed.select("text").mapInArrow(sent, "bucket int, records binary").repartition("bucket").sortWithinPartitions("bucket")
-    edges = common.cut(dealt.mapInArrow(meet, "u long, v long").distinct(), "candidates")
+    matches = common.cut(dealt.mapInArrow(meet, "place long, node long, mark int"), "matches")
+    enough = matches.groupBy("node", "mark").agg(F.count("*").alias("c")).filter(F.col("c") >= F.col("mark").bitwiseAND(127)).drop("c")
+    kept = common.cut(matches.join(enough, ["node", "mark"]).select("place", "node"), "kept")
+    common.discard(matches)
+    least = kept.groupBy("place").agg(F.min("node").alias("v"), F.max("node").alias("most")).filter("v < most").drop("most")
+    least = common.cut(least, "least")  # so that what many sets have in common can be split where they meet its least
+    edges = common.cut(kept.join(least, "place").filter("node > v").select(F.col("node").alias("u"), "v").distinct(), "candidates")
+    common.discard(kept, least)
     blocks = graph.components(edges)
     blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct()).toDF("node", "block")
     low = F.array(*[F.lit(int(x)) for x in bands.low])

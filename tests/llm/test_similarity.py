@@ -114,8 +114,11 @@ def test_linked_sets_share_a_signature():
             k = len(np.intersect1d(a, b))
             if len(b) and len(a) != k and 100 * k >= percent * (len(a) + len(b) - k):
                 linked += 1
-                o, s = ngram_join.signatures([a, b], bands)
-                assert np.intersect1d(s[o == 0], s[o == 1]).size
+                o, s, m = ngram_join.signatures([a, b], bands)
+                both = np.intersect1d(s[o == 0], s[o == 1])
+                for i in (0, 1):  # for the band in which they are compared, each has as many as its mark says
+                    met = m[(o == i) & np.isin(s, both)]
+                    assert any(np.count_nonzero(met == x) >= x % 128 for x in np.unique(met))
         assert linked > 200
 
 
