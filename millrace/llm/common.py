@@ -65,13 +65,13 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", codec: str = "snappy") -> DataFrame:
     """df written as Parquet in the shared folder and read again: its lineage ends there, and lost executors lose nothing. The shuffle
     files of the step are deleted when it has ended. The folder goes when discard() is called, or with the session."""
     spark = df.sparkSession
     path = new_path(spark, label)
     with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     if not _made:
         atexit.register(_clean)
     _made[path] = spark

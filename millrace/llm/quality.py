@@ -149,6 +149,6 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     (not so the id or the stratum: rename them before), others may have any names. Empty docs or labels give an empty result or base
     rules only.
     """
-    known = common.cut(measured(docs, text_col), "measured")
+    known = common.cut(measured(docs, text_col), "measured", codec="zstd")
     steps = common.cut(proven(known, labels, stratum, id_col=id_col, **limits), "steps")
     return judged(known, steps, stratum)
