@@ -4,9 +4,11 @@
 2. Candidates, exactly: sizes fall into bands, so that linked sets lie in one band or in two that adjoin. In a band, linked sets
    differ in at most D shingles; the hash space is cut into more than D ranges, so linked sets agree in a whole range at least, and
    two sets that agree in a range of several shingles are seldom strangers. Every set sends one signature a range (about 0.5 of its
-   shingles at 85 %), for its own band and the next. There are more ranges than D by a margin, so a linked set meets others in as
-   many: sets that meet too few (that share a passage, say) are out. Signatures of the rest that meet are edges, their components the
-   blocks.
+   shingles at 85 %), for its own band and the next. There are more ranges than D by a margin, so a linked pair meets in T at least.
+   All signatures have one order, those of few shingles first, of these the most frequent: each set leaves out its first T - 1 that
+   meet any. What a pair shares is in the same order for both, so a linked pair keeps the last that it shares; sets that meet too few
+   are out. Strangers meet in signatures of one or two shingles that many have; without these the blocks (components of the rest)
+   don't grow together as the table grows. Signatures that are left and meet are edges.
 3. In a block the sets are globally ordered (the most frequent shingle first, so that paths are shared) and stored in a trie. A set
    is looked up by one traversal that carries the overlap of the shared path; a subtree is left as soon as the overlap so far plus
    what can remain of either side misses the bound, and taken whole as soon as the overlap is enough for its largest set. What
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, fingerprint, graph
@@ -39,6 +41,8 @@ NODE = (1 << 40) - 1
 RECORD = 11
 #: Ranges beyond the most differences, as a share of these: what a linked set must meet at least, but for its empty ranges.
 MARGIN = 0.15
+#: What seven bits of a mark say: so many common signatures at least. Steps of 8 % from 64 on.
+AT_LEAST = np.array([*range(64), *[int(64 * 1.08**i) for i in range(64)]], np.int64)
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -78,9 +82,10 @@ class Bands:
 
 
 def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, signature, mark): linked sets have some in common. mark says for which band (own: 0, next: 128) a signature is, plus how many
-    signatures of that mark the set has in common with any that it links with there, at least (up to 127). Where a difference is
-    impossible, there are none: such sets link if equal only."""
+    """(set, signature, mark): linked sets have some in common. mark says for which band (own: 0, next: 128) a signature is, plus the
+    place in AT_LEAST of how many signatures of that mark the set has in common with any that it links with there, at least. The two
+    top bits of a signature say of how many shingles it is (1, 2, 3, more). Where a difference is impossible, there are none: such sets
+    link if equal only."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     begin = np.cumsum(n) - n
@@ -95,19 +100,20 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         o = own[at]
         r = ((flat[at] >> np.uint64(32)) * m[o].astype(np.uint64)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (r[1:] != r[:-1])]))
+        kind = np.minimum(np.diff(np.append(first, len(o))), 4) - 1
         sums, o, r = np.add.reduceat(mixed[at], first), o[first], r[first]
         label = fingerprint.mix(r + (g[o].astype(np.uint64) << np.uint64(40)) + np.uint64(1))
         owners.append(o)
-        found.append(fingerprint.mix(sums + label))
+        found.append(fingerprint.mix(sums + label) >> np.uint64(2) | kind.astype(np.uint64) << np.uint64(62))
         empty = m - np.bincount(o, minlength=len(sets))
-        mark = 128 * step + np.clip(bands.agree[g] - empty, 1, 127)
+        mark = 128 * step + np.searchsorted(AT_LEAST, np.maximum(bands.agree[g] - empty, 1), "right") - 1
         marks.append(mark[o])
         for i in np.flatnonzero((m > 0) & (empty >= bands.agree[g])).tolist():
             # Linked sets may agree in empty ranges only. Both then are here and share a shingle of these first ones in hash order.
             some = sets[i][: n[i] - -(-n[i] * bands.percent // 100) + 1]
             owners.append(np.full(len(some), i))
             marks.append(np.full(len(some), mark[i]))
-            found.append(fingerprint.mix(some ^ np.uint64(g[i] + 3)))
+            found.append(fingerprint.mix(some ^ np.uint64(g[i] + 3)) >> np.uint64(2))
     if not owners:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(owners), np.concatenate(found), np.concatenate(marks)
@@ -129,15 +135,17 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return both[0].view("<i8")[:, 0], both[1].view("<i8")[:, 0], rows[:, 10].astype(np.int32)
 
 
-def _met(nodes: np.ndarray, sigs: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The records, each once, whose signature another node has too."""
+def _met(nodes: np.ndarray, sigs: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The records, each once, whose signature another node has too, and how many nodes have it."""
     order = np.lexsort((nodes, sigs))
     nodes, sigs, marks = nodes[order], sigs[order], marks[order]
     new = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (nodes[1:] != nodes[:-1])])
     nodes, sigs, marks = nodes[new], sigs[new], marks[new]
-    same = sigs[1:] == sigs[:-1]
-    met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    return nodes[met], sigs[met], marks[met]
+    first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+    many = np.diff(np.append(first, len(sigs)))
+    many = np.repeat(many, many)
+    met = many > 1
+    return nodes[met], sigs[met], marks[met], many[met]
 
 
 class Trie:
@@ -322,8 +330,8 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
         held, bucket = [], None
 
         def solve():
-            node, sig, mark = _met(*_unpack(b"".join(held)))
-            return pa.RecordBatch.from_arrays([pa.array(sig | bucket << 40), pa.array(node), pa.array(mark)], names=["place", "node", "mark"])
+            node, sig, mark, many = _met(*_unpack(b"".join(held)))
+            return pa.RecordBatch.from_arrays([pa.array(sig | bucket << 40), pa.array(node), pa.array(mark), pa.array(many, pa.int32())], names=["place", "node", "mark", "many"])
 
         for b in batches:
             for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -336,9 +344,10 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
             yield solve()
 
     dealt = keyed.select("text").mapInArrow(sent, "bucket int, records binary").repartition("bucket").sortWithinPartitions("bucket")
-    matches = common.cut(dealt.mapInArrow(meet, "place long, node long, mark int"), "matches")
-    enough = matches.groupBy("node", "mark").agg(F.count("*").alias("c")).filter(F.col("c") >= F.col("mark").bitwiseAND(127)).drop("c")
-    kept = common.cut(matches.join(enough, ["node", "mark"]).select("place", "node"), "kept")
+    matches = common.cut(dealt.mapInArrow(meet, "place long, node long, mark int, many int"), "matches")
+    turn = F.row_number().over(Window.partitionBy("node", "mark").orderBy(F.shiftright("place", 38).bitwiseAND(F.lit(3)), F.desc("many"), "place"))
+    enough = F.array(*[F.lit(int(x)) for x in AT_LEAST])[F.col("mark").bitwiseAND(F.lit(127))]
+    kept = common.cut(matches.withColumn("turn", turn).filter(F.col("turn") >= enough).select("place", "node"), "kept")
     common.discard(matches)
     least = kept.groupBy("place").agg(F.min("node").alias("v"), F.max("node").alias("most")).filter("v < most").drop("most")
     least = common.cut(least, "least")  # so that what many sets have in common can be split where they meet its least

@@ -122,6 +122,51 @@ def test_linked_sets_share_a_signature():
         assert linked > 200
 
 
+def test_ngram_join_blocks_stay_apart(spark, monkeypatch):
+    """Families of near copies that only share usual lines are blocks of their own, and their links are whole."""
+    r, rows = random.Random(8), []
+    lines = [[f"line{i}_{j}" for j in range(9)] for i in range(12)]
+    for family in range(120):
+        words = [f"f{family}_{i}" for i in range(150)]
+        for line in r.sample(lines, 6):
+            words[(at := r.randrange(len(words))) : at] = line
+        for _ in range(3):
+            copy = words[:]
+            copy[r.randrange(len(copy))] = f"own{len(rows)}"
+            rows.append((len(rows), " ".join(copy)))
+    seen, cut = {}, ngram_join.common.cut
+    monkeypatch.setattr(ngram_join.common, "cut", lambda df, label="cut", codec="snappy": seen.setdefault(label, cut(df, label, codec)) if label == "sizes" else cut(df, label, codec))
+    got = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string"), k=5, percent=80).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == similar_rows(rows, 5, 80)
+    sizes = [x.total for x in seen["sizes"].collect()]
+    assert len(sizes) > 60 and max(sizes) < 0.2 * sum(sizes)
+
+
+def test_dropped_signatures_leave_one_in_common():
+    """Each set leaves out its first ones in the common order, whatever else it meets; linked sets then still meet."""
+    r, linked = np.random.default_rng(9), 0
+    bands = ngram_join.Bands(80)
+    for _ in range(600):
+        n = int(r.integers(4, 3000)) if r.random() < 0.2 else int(r.integers(4, 200))
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[r.random(n) > r.random() * 0.2], r.integers(0, 2**64, int(r.integers(0, 2 + n // 8)), dtype=np.uint64)]))
+        k = len(np.intersect1d(a, b))
+        if not len(b) or len(a) == k == len(b) or 100 * k < 80 * (len(a) + len(b) - k):
+            continue
+        linked += 1
+        o, s, m = ngram_join.signatures([a, b], bands)
+        common = np.intersect1d(s[o == 0], s[o == 1])
+        also = r.random() < 0.5  # strangers meet the rest
+        left = []
+        for i in (0, 1):
+            left.append(set())
+            for x in np.unique(m[o == i]):
+                met = np.sort(s[(o == i) & (m == x) & (also | np.isin(s, common))])  # few shingles first
+                left[i] |= set(met[ngram_join.AT_LEAST[x % 128] - 1 :].tolist())
+        assert left[0] & left[1]
+    assert linked > 150
+
+
 def test_count_block_is_brute_force():
     r = random.Random(6)
     for _ in range(200):
