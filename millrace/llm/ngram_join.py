@@ -16,7 +16,8 @@
 4. Blocks over BLOCK_TOKENS are dealt into tiles by band and hash. A tile meets the tiles of its band and of the next, each two once;
    no block is cut off, none is held whole. Counting every link of one block grows with its square, whatever the layout.
 
-Texts are read three times and shuffled once (those of candidates must be found); no table of shingles is written.
+Texts are read three times, and those of candidates (found by a bitmap of fixed size, then by a join) shuffled once; no table of
+shingles is written.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ RECORD = 11
 MARGIN = 0.15
 #: What seven bits of a mark say: so many common signatures at least. Steps of 8 % from 64 on.
 AT_LEAST = np.array([*range(64), *[int(64 * 1.08**i) for i in range(64)]], np.int64)
+#: Bits of the map of candidates' rows, and of one of its pieces (as Spark's bitmap functions make them).
+BITS, PIECE_BITS = 1 << 24, 1 << 15
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -270,6 +273,17 @@ def count_block(sets: list[np.ndarray], sizes: list[int], weights: list[int], pe
     return out, counts
 
 
+def likely(df: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """The rows of df whose columns (long) are those of a row of wanted, by position, and few others: one in BITS / rows of wanted. What
+    is broadcast is a bitmap of hashes, of 2 MB at most for any tables."""
+    at = lambda names: F.pmod(F.xxhash64(*names), F.lit(BITS)).cast("int")
+    bits = wanted.select(at(wanted.columns).alias("at")).groupBy(F.shiftright("at", 15).alias("piece")).agg(F.bitmap_construct_agg((F.col("at") % PIECE_BITS).cast("long")).alias("bits"))
+    at_, piece, bits_ = common.fresh(df.columns, "at", "piece", "bits")
+    found = df.withColumn(at_, at(columns)).join(F.broadcast(bits.toDF(piece, bits_)), F.shiftright(at_, 15) == F.col(piece))
+    byte = F.conv(F.hex(F.substring(bits_, F.shiftright(F.col(at_) % PIECE_BITS, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return found.filter(F.getbit(byte, F.col(at_) % 8) == 1).select(*df.columns)
+
+
 def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, n_shingles, n_links, component_id, group_id, key), one row per row of docs; sets with a Jaccard similarity of percent / 100 or more link.
 
@@ -406,7 +420,8 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
             yield solve()
 
     same = (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    texts = keyed.join(placed, same).select("block", "cid", "n", "weight", "tile", "others", "text")
+    near = likely(keyed, alive.select("rep_key", "rep"), "key", "doc_id")
+    texts = near.join(placed, same).select("block", "cid", "n", "weight", "tile", "others", "text")
     sets = texts.mapInArrow(full, "block long, cid long, n long, weight long, tile long, others array<long>, tokens binary")
     units = sets.withColumn("other", F.explode("others")).select("block", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("z"), "cid", "n", "weight", "tile", "tokens")
     units = units.repartition("block", "a", "z").sortWithinPartitions("block", "a", "z")

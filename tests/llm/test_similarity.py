@@ -167,6 +167,15 @@ def test_dropped_signatures_leave_one_in_common():
     assert linked > 150
 
 
+def test_likely_rows(spark):
+    df = spark.range(200_000).selectExpr("id as key", "if(id % 5 = 0, null, id * 7) as doc_id", "cast(id as string) as text", "1 as at", "2 as bits")
+    wanted = df.filter("key % 100 < 2").select("key", "doc_id")
+    got = ngram_join.likely(df, wanted, "key", "doc_id")
+    keys = {x.key for x in got.collect()}
+    assert got.columns == df.columns and {x.key for x in wanted.collect()} <= keys and len(keys) < 4_200
+    assert ngram_join.likely(df, wanted.limit(0), "key", "doc_id").count() == 0
+
+
 def test_count_block_is_brute_force():
     r = random.Random(6)
     for _ in range(200):
