@@ -37,6 +37,8 @@ from .substring import _chunks
 BLOCK_TOKENS = 200_000
 #: Signatures gathered in a worker before they are sent, at 10 bytes each.
 SEND = 1_000_000
+#: Rows that a worker gets at a time: texts, sets, or signatures sent together. More of them only take memory, here and in the JVM.
+BATCH_ROWS = 500
 #: Candidate edges name a class by so many bits of its digest: equal ones join blocks, which loses nothing.
 NODE = (1 << 40) - 1
 RECORD = 11
@@ -295,6 +297,7 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
     """
     spark = docs.sparkSession
     bands = Bands(percent)
+    few = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(BATCH_ROWS)}
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
 
     # 1. Classes.
@@ -307,7 +310,8 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
                 d += [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["doc_id", "key", "n", "cid"])
 
-    rows = common.cut(keyed.mapInArrow(digests, "doc_id long, key long, n long, cid long"), "rows")
+    with common.settings(spark, **few):
+        rows = common.cut(keyed.mapInArrow(digests, "doc_id long, key long, n long, cid long"), "rows")
     classes = rows.filter("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("r"), F.count("*").alias("weight"))
     classes = classes.select("cid", "n", "weight", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("rep_key"), F.col("cid").bitwiseAND(F.lit(NODE)).alias("node"))
     classes = common.cut(classes, "classes")
@@ -358,7 +362,8 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
             yield solve()
 
     dealt = keyed.select("text").mapInArrow(sent, "bucket int, records binary").repartition("bucket").sortWithinPartitions("bucket")
-    matches = common.cut(dealt.mapInArrow(meet, "place long, node long, mark int, many int"), "matches")
+    with common.settings(spark, **few):
+        matches = common.cut(dealt.mapInArrow(meet, "place long, node long, mark int, many int"), "matches")
     turn = F.row_number().over(Window.partitionBy("node", "mark").orderBy(F.shiftright("place", 38).bitwiseAND(F.lit(3)), F.desc("many"), "place"))
     enough = F.array(*[F.lit(int(x)) for x in AT_LEAST])[F.col("mark").bitwiseAND(F.lit(127))]
     kept = common.cut(matches.withColumn("turn", turn).filter(F.col("turn") >= enough).select("place", "node"), "kept")
@@ -425,7 +430,8 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
     sets = texts.mapInArrow(full, "block long, cid long, n long, weight long, tile long, others array<long>, tokens binary")
     units = sets.withColumn("other", F.explode("others")).select("block", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("z"), "cid", "n", "weight", "tile", "tokens")
     units = units.repartition("block", "a", "z").sortWithinPartitions("block", "a", "z")
-    found = common.cut(units.mapInArrow(local, "u long, v long, n_links long"), "links")
+    with common.settings(spark, **few):
+        found = common.cut(units.mapInArrow(local, "u long, v long, n_links long"), "links")
     roots = graph.components(found.filter("v is not null").select("u", "v")).toDF("cid", "root")
     known = classes.select("cid", "weight", "rep").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
