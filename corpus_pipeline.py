@@ -79,7 +79,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     encoded whole. Empty documents give an empty result. Further columns are left out.
     """
     ranks = public_tokenizers.path(RANKS)
-    back = bpe.decode(bpe.encode(docs.select("doc_id", "source", "lang", "text"), ranks), ranks)
+    back = bpe.encode_and_decode(docs.select("doc_id", "source", "lang", "text"), ranks)
     whole = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     ids = F.when(whole, F.col("ids")).otherwise(F.raise_error(F.lit("ids do not decode to the text")))
     return back.select("doc_id", "source", "lang", ids.alias("ids"), F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -191,16 +191,7 @@ def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([c for n, c in zip(batch.schema.names, batch.columns) if n != name] + [values], names=[n for n in batch.schema.names if n != name] + [name])
 
 
-def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", ids_col: str = "ids", offsets_col: str = "offsets") -> DataFrame:
-    """docs with ids and offsets (array<int>) added: each text by the pattern and the ranks, without special tokens, and where each
-    token ends in the text's bytes.
-
-    Null text counts as empty and has no ids. Columns named like ids_col or offsets_col are replaced, others may have any names. Rows
-    stand for themselves; ties, repeats and empty tables need no care. Texts of any length are encoded whole, those beyond a few MB
-    one at a time.
-    """
-    schema = common.added(docs.schema, (ids_col, T.ArrayType(T.IntegerType())), (offsets_col, T.ArrayType(T.IntegerType())))
-
+def _encoding(ranks_path: str, text_col: str, ids_col: str, offsets_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
         for whole in batches:
@@ -215,16 +206,10 @@ def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", ids_col:
                 yield _replaced(_replaced(batch, ids_col, ids), offsets_col, ends)
         enc.cache.clear()  # workers outlive their tasks
 
-    return common.mapped(docs, run, schema)
+    return run
 
 
-def decode(df: DataFrame, ranks_path: str, *, ids_col: str = "ids", offsets_col: str = "offsets", out_col: str = "decoded") -> DataFrame:
-    """df with the bytes of its ids added (binary; null ids: empty), by their offsets if df has them (not null). Ids outside the
-    vocabulary and offsets of other ids raise. A column named like out_col is replaced, others may have any names; rows stand for
-    themselves, repeated ones too; an empty table stays empty. Tokens of a row are decoded RUN at a time.
-    """
-    schema = common.added(df.schema, (out_col, T.BinaryType()))
-
+def _decoding(ranks_path: str, ids_col: str, offsets_col: str, out_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
         for whole in batches:
@@ -238,4 +223,34 @@ def decode(df: DataFrame, ranks_path: str, *, ids_col: str = "ids", offsets_col:
                 ]
                 yield _replaced(batch, out_col, pa.array(out, pa.binary()))
 
-    return common.mapped(df, run, schema)
+    return run
+
+
+def _encoded_schema(docs: DataFrame, ids_col: str, offsets_col: str) -> T.StructType:
+    return common.added(docs.schema, (ids_col, T.ArrayType(T.IntegerType())), (offsets_col, T.ArrayType(T.IntegerType())))
+
+
+def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", ids_col: str = "ids", offsets_col: str = "offsets") -> DataFrame:
+    """docs with ids and offsets (array<int>) added: each text by the pattern and the ranks, without special tokens, and where each
+    token ends in the text's bytes.
+
+    Null text counts as empty and has no ids. Columns named like ids_col or offsets_col are replaced, others may have any names. Rows
+    stand for themselves; ties, repeats and empty tables need no care. Texts of any length are encoded whole, those beyond a few MB
+    one at a time.
+    """
+    return common.mapped(docs, _encoding(ranks_path, text_col, ids_col, offsets_col), _encoded_schema(docs, ids_col, offsets_col))
+
+
+def decode(df: DataFrame, ranks_path: str, *, ids_col: str = "ids", offsets_col: str = "offsets", out_col: str = "decoded") -> DataFrame:
+    """df with the bytes of its ids added (binary; null ids: empty), by their offsets if df has them (not null). Ids outside the
+    vocabulary and offsets of other ids raise. A column named like out_col is replaced, others may have any names; rows stand for
+    themselves, repeated ones too; an empty table stays empty. Tokens of a row are decoded RUN at a time.
+    """
+    return common.mapped(df, _decoding(ranks_path, ids_col, offsets_col, out_col), common.added(df.schema, (out_col, T.BinaryType())))
+
+
+def encode_and_decode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", ids_col: str = "ids", offsets_col: str = "offsets", out_col: str = "decoded") -> DataFrame:
+    """What decode gives of what encode gives, by one worker a task: two mapInArrow in a row are two workers with an encoder each."""
+    encoding, decoding = _encoding(ranks_path, text_col, ids_col, offsets_col), _decoding(ranks_path, ids_col, offsets_col, out_col)
+    schema = common.added(_encoded_schema(docs, ids_col, offsets_col), (out_col, T.BinaryType()))
+    return common.mapped(docs, lambda batches: decoding(encoding(batches)), schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -122,6 +123,19 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = 2_000, size: int = 4
         at = upto
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which the worker gives back the memory it no longer needs: workers outlive their tasks, and what they
+    hold counts beside the stages that follow."""
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+            trim(0)
+
+    return done
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """mapInArrow for columns of any names, which it would refuse for some (backticks, dots)."""
     names, plain = df.columns, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
@@ -130,7 +144,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         for b in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
             yield pa.RecordBatch.from_arrays(b.columns, names=plain.names)
 
-    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, plain).toDF(*schema.names)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(trimmed(renamed), plain).toDF(*schema.names)
 
 
 def added(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:

@@ -311,7 +311,7 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["doc_id", "key", "n", "cid"])
 
     with common.settings(spark, **few):
-        rows = common.cut(keyed.mapInArrow(digests, "doc_id long, key long, n long, cid long"), "rows")
+        rows = common.cut(keyed.mapInArrow(common.trimmed(digests), "doc_id long, key long, n long, cid long"), "rows")
     classes = rows.filter("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("r"), F.count("*").alias("weight"))
     classes = classes.select("cid", "n", "weight", F.col("r.doc_id").alias("rep"), F.col("r.key").alias("rep_key"), F.col("cid").bitwiseAND(F.lit(NODE)).alias("node"))
     classes = common.cut(classes, "classes")
@@ -361,9 +361,9 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
         if held:
             yield solve()
 
-    dealt = keyed.select("text").mapInArrow(sent, "bucket int, records binary").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = keyed.select("text").mapInArrow(common.trimmed(sent), "bucket int, records binary").repartition("bucket").sortWithinPartitions("bucket")
     with common.settings(spark, **few):
-        matches = common.cut(dealt.mapInArrow(meet, "place long, node long, mark int, many int"), "matches")
+        matches = common.cut(dealt.mapInArrow(common.trimmed(meet), "place long, node long, mark int, many int"), "matches")
     turn = F.row_number().over(Window.partitionBy("node", "mark").orderBy(F.shiftright("place", 38).bitwiseAND(F.lit(3)), F.desc("many"), "place"))
     enough = F.array(*[F.lit(int(x)) for x in AT_LEAST])[F.col("mark").bitwiseAND(F.lit(127))]
     kept = common.cut(matches.withColumn("turn", turn).filter(F.col("turn") >= enough).select("place", "node"), "kept")
@@ -427,11 +427,11 @@ def similar(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "do
     same = (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))
     near = likely(keyed, alive.select("rep_key", "rep"), "key", "doc_id")
     texts = near.join(placed, same).select("block", "cid", "n", "weight", "tile", "others", "text")
-    sets = texts.mapInArrow(full, "block long, cid long, n long, weight long, tile long, others array<long>, tokens binary")
+    sets = texts.mapInArrow(common.trimmed(full), "block long, cid long, n long, weight long, tile long, others array<long>, tokens binary")
     units = sets.withColumn("other", F.explode("others")).select("block", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("z"), "cid", "n", "weight", "tile", "tokens")
     units = units.repartition("block", "a", "z").sortWithinPartitions("block", "a", "z")
     with common.settings(spark, **few):
-        found = common.cut(units.mapInArrow(local, "u long, v long, n_links long"), "links")
+        found = common.cut(units.mapInArrow(common.trimmed(local), "u long, v long, n_links long"), "links")
     roots = graph.components(found.filter("v is not null").select("u", "v")).toDF("cid", "root")
     known = classes.select("cid", "weight", "rep").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -129,3 +129,8 @@ def test_stages(spark):
     out = pipe.encode(spark, mixed, SF).collect()
     assert len(out) == mixed.count()
     assert all(r.ids == own.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids) for r in out)
+
+
+def test_encoding_takes_one_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "en", "a", "x y")], "doc_id long, lang string, source string, text string")
+    assert pipe.encode(spark, docs, SF)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1

@@ -5,10 +5,12 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 import regex
@@ -81,6 +83,31 @@ def test_bpe_is_tiktoken(spark):
     assert bpe.encode(df.limit(0), MULTI).count() == 0
 
 
+def test_bpe_encodes_and_decodes_in_one_worker(spark):
+    df = spark.createDataFrame(list(enumerate(HARD)), "doc_id int, text string").withColumn("decoded", F.lit("clash"))
+    both, apart = bpe.encode_and_decode(df, MULTI), bpe.decode(bpe.encode(df, MULTI), MULTI)
+    assert both.schema == apart.schema and sorted(both.collect()) == sorted(apart.collect())
+    assert bpe.encode_and_decode(df.limit(0), MULTI).count() == 0
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert [plan(d).count("MapInArrow") for d in (both, apart)] == [1, 2]
+
+
+def test_workers_give_back_memory_after_a_task():
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    def run(batches):
+        kept = [b"x" * 100_000 for _ in range(3_000)]  # under the size from which the C library maps each for itself
+        last.append(b"x" * 100_000)  # above them in the heap, so nothing is given back without being asked
+        yield from batches
+        del kept
+
+    last, before = [], held()
+    batch = pa.RecordBatch.from_pydict({"a": [1]})
+    assert list(common.trimmed(run)(iter([batch]))) == [batch]
+    assert held() - before < 100
+
+
 def test_bpe_offsets_are_kept_and_used(spark):
     df = spark.createDataFrame(list(enumerate(HARD)), "doc_id int, text string")
     coded = bpe.encode(df, MULTI)
