@@ -47,7 +47,7 @@ class Encoder:
         self.length = np.array([len(b) for b in self.bytes_of], np.int32)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.keys = self.values = None  # built when first needed: a worker that only decodes does without
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def _pairs(self) -> None:
         ranks, pairs = self.ranks, {}
@@ -135,7 +135,7 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids (little-endian 32 bits) of each text."""
-        return encode_pieces(texts, self.cache, lambda new: self.merge([p.encode("utf-8") for p in new]))
+        return encode_pieces(texts, self.cache, self.merge)
 
     def decode(self, ids: list[int]) -> bytes:
         of = self.bytes_of
@@ -153,27 +153,35 @@ class Encoder:
         return bytes(out)
 
 
-def encode_pieces(texts: list[str], cache: dict[str, bytes], encode_new) -> Iterator[bytes]:
-    """For each text, the cached codes of its slices joined; encode_new gives those of slices that the cache lacks."""
+def encode_pieces(texts: list[str], cache: dict[bytes, bytes], encode_new: Callable[[list[bytes]], list[bytes]]) -> Iterator[bytes]:
+    """For each text, the cached codes of its slices joined; encode_new gives those of slices that the cache lacks.
+
+    Most slices are in the cache, so each is looked up once there. What a full cache held of these texts goes on to the next one.
+    """
     at, size = 0, sum(map(len, cache))
     while at < len(texts):
         upto, chars = at, 0
         while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= CHUNK_CHARS):
             chars += len(texts[upto])
             upto += 1
-        pieces, counts = pretoken.pieces(texts[at:upto])
-        distinct = set(pieces)
-        new = list(distinct.difference(cache))
+        pieces, counts = pretoken.byte_pieces(texts[at:upto])
+        codes = list(map(cache.get, pieces))
+        missing = [i for i, c in enumerate(codes) if c is None] if None in codes else []
+        new = list({pieces[i] for i in missing})
         if len(cache) + len(new) > CACHE_PIECES or size + sum(map(len, new)) > CACHE_BYTES:
+            kept = {p: c for p, c in zip(pieces, codes) if c is not None}
             cache.clear()
-            size, new = 0, list(distinct)
+            cache.update(kept)
+            size = sum(map(len, cache))
         found = dict(zip(new, encode_new(new)))
-        long = {p: found.pop(p) for p in new if len(p) > LONGEST_KEPT}
-        cache.update(found)
-        size += sum(map(len, found))
+        for i in missing:
+            codes[i] = found[pieces[i]]
+        short = {p: c for p, c in found.items() if len(p) <= LONGEST_KEPT}
+        cache.update(short)
+        size += sum(map(len, short))
         k = 0
         for n in counts.tolist():
-            yield b"".join([cache[p] if p in cache else long[p] for p in pieces[k : k + n]] if long else [cache[p] for p in pieces[k : k + n]])
+            yield b"".join(codes[k : k + n])
             k += n
         at = upto
 

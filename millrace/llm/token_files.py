@@ -45,7 +45,8 @@ def _tokenizer(path: str):
         byte_level = t.pre_tokenizer is not None and repr(t.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
-        letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        letters = np.zeros(256, "<u4")  # the code point that the model has for a byte
+        letters[shown], letters[hidden] = shown, range(256, 256 + len(hidden))
         special = [x.content for x in t.get_added_tokens_decoder().values()]
         _tokenizers[path] = t, byte_level and t.normalizer is None, letters, special, {}
     return _tokenizers[path]
@@ -60,9 +61,15 @@ def encode_texts(texts: list[str], path: str, end_id: int | None, width: int) ->
         return [np.array(e.ids, kind).tobytes() + end for x in texts for e in t.encode_batch([x], add_special_tokens=False)]
     model = t.model
 
-    def new(pieces: list[str]) -> list[bytes]:
-        shown = [p.encode("utf-8").decode("latin-1").translate(letters) for p in pieces]
-        return [np.array([y.id for y in model.tokenize(s)], kind).tobytes() for s in shown]
+    def new(pieces: list[bytes]) -> list[bytes]:
+        shown = letters[np.frombuffer(b"".join(pieces), np.uint8)].tobytes().decode("utf-32-le")
+        ids, ends, at, tokens_of = [], [], 0, model.tokenize
+        for n in map(len, pieces):
+            ids += [y.id for y in tokens_of(shown[at : at + n])]
+            ends.append(len(ids) * width)
+            at += n
+        raw = np.array(ids, kind).tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     odd = {i for i, x in enumerate(texts) if any(s in x for s in special)}  # the library treats these strings in its own way
     out = [c + end for c in bpe.encode_pieces(["" if i in odd else x for i, x in enumerate(texts)], cache, new)]
